@@ -12,9 +12,10 @@ similarity is ``threshold`` or more. Classes are the connected components of the
 
 Large groups are not expanded into pairs. Texts of the same shingles and counts are one
 representative. In each band's bucket every representative is first compared with the bucket's
-smallest id, then, where several components are left, with its largest id, and last, pairs that
-share a bucket but are still in different components are compared one by one. Pairs in one
-component need no comparison, so no link that could join two classes goes unseen.
+smallest id, then, where several components are left, with two more leaders. Documents that still
+share a bucket but no component are compared in blocks of bounded size, first by the slots that
+agree, where the chance to miss a pair at the threshold is under 1e-5, then by their shingles. Pairs
+inside a component need no comparison, so no link that could join two classes is left out.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ from candor.llm.scratch import Scratch
 U = np.uint64
 ROWS, BANDS = 5, 25
 SLOTS = ROWS * BANDS
+#: After the smallest id, leaders of buckets that several components share: the ends of two orders.
+LEADERS = (F.min, F.max)
+#: Documents on each side of a blockwise comparison.
+BLOCK = 256
 
 
 def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs: int) -> np.ndarray:
@@ -112,7 +117,9 @@ def _lists(values: np.ndarray, width: int, valid: np.ndarray) -> pa.Array:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for ids, n, doc, shingle, count in _kernels(batch):
-            keys = band_keys(signatures(doc, shingle, count.astype(np.float64), n))
+            signature = signatures(doc, shingle, count.astype(np.float64), n)
+            keys = band_keys(signature)
+            short = np.ascontiguousarray(tk.mix(signature).astype(np.uint8))
             sums = []
             for salt in (0x1234567, 0x89ABCDEF):
                 part = np.concatenate([[U(0)], np.cumsum(tk.mix(shingle + count.astype(U) * U(salt << 20 | 1)))])
@@ -120,7 +127,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sums.append(part[edge[1:]] - part[edge[:-1]])
             filled = np.isin(np.arange(n), doc)
             yield pa.RecordBatch.from_arrays(
-                [ids, *(pa.array(s.view(np.int64)) for s in sums), _lists(keys, BANDS, filled)], ["id", "d1", "d2", "bands"]
+                [ids, *(pa.array(s.view(np.int64)) for s in sums), _lists(keys, BANDS, filled), pa.array([s.tobytes() for s in short], pa.binary())],
+                ["id", "d1", "d2", "bands", "sig"],
             )
 
 
@@ -140,21 +148,77 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
-def _verifier(threshold: float):
-    def set_of(h: bytes, c: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        elements = np.frombuffer(h, U)
-        return elements, np.ones(len(elements), np.uint32) if c is None else np.frombuffer(c, np.uint32)
+def _set_of(h: bytes, c: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    elements = np.frombuffer(h, U)
+    return elements, np.ones(len(elements), np.uint32) if c is None else np.frombuffer(c, np.uint32)
+
 
+def _verifier(threshold: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, *sets = (x.to_pylist() for x in batch.columns)
-            good = [similarity(*set_of(ha, ca), *set_of(hb, cb)) >= threshold for ha, ca, hb, cb in zip(*sets, strict=True)]
+            good = [similarity(*_set_of(ha, ca), *_set_of(hb, cb)) >= threshold for ha, ca, hb, cb in zip(*sets, strict=True)]
             table = pa.table({"a": pa.array(a, batch.schema.field(0).type), "b": pa.array(b, batch.schema.field(1).type)})
             yield from table.filter(pa.array(good, pa.bool_())).to_batches()
 
     return verify
 
 
+def _blockwise(placed: DataFrame, mixed: DataFrame, signed: DataFrame, sets: DataFrame, threshold: float, kind: str) -> DataFrame:
+    """Links between documents that share a bucket but not yet a root, found without listing the pairs.
+
+    Of two such documents at least one is outside the bucket's commonest root. Those outside, in
+    blocks of about BLOCK, meet all members, in blocks too. A pair is looked at in the first band that
+    it shares; where enough slots agree, it is verified on its shingles.
+    """
+    cells = mixed.select("key", F.col("top.root").alias("top"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nj"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("ni"))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    rows = placed.join(cells, "key").withColumn("outside", F.col("root") != F.col("top"))
+    steps = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["key", "id", "root", "outside"]
+    left = rows.filter("outside").select(*columns, F.lit(True).alias("left"), block("ni").alias("i"), steps("nj").alias("j"))
+    right = rows.select(*columns, F.lit(False).alias("left"), steps("ni").alias("i"), block("nj").alias("j"))
+    rows = left.unionByName(right)
+    rows = rows.join(signed.select("id", "bands", "sig"), "id").join(sets, "id")
+    enough = int(SLOTS * (threshold - 0.2))
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = np.asarray(table["left"])
+        key = np.int64(table["key"][0].as_py()).view(U)
+        ids, roots = table["id"].to_pylist(), table["root"].to_pylist()
+        outside = np.asarray(table["outside"])
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, SLOTS)
+        bands = np.stack([np.asarray(x, np.int64) for x in table["bands"].to_pylist()]).view(U)
+        at = int(np.flatnonzero(bands[0] == key)[0])
+        h, c = table["h"], table["c"]
+        set_of = lambda k: _set_of(h[k].as_py(), c[k].as_py())
+        parent: dict = {}
+
+        def top(x):
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        right = np.flatnonzero(~side)
+        a, b = [], []
+        for k in np.flatnonzero(side):
+            near = right[(sig[right] == sig[k]).sum(1) >= enough]
+            near = near[~(bands[near, :at] == bands[k, :at]).any(1)]
+            agree = (sig[near] == sig[k]).sum(1)
+            mine = None
+            for m in near[np.argsort(-agree, kind="stable")]:
+                if (outside[m] and ids[m] > ids[k]) or top(roots[m]) == top(roots[k]):
+                    continue
+                mine = set_of(int(k)) if mine is None else mine
+                if similarity(*mine, *set_of(int(m))) >= threshold:
+                    parent[top(roots[k])] = top(roots[m])
+                    a.append(ids[k])
+                    b.append(ids[m])
+        return pa.table({"a": pa.array(a, table["id"].type), "b": pa.array(b, table["id"].type)})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, scratch: Scratch | None = None
 ) -> DataFrame:
@@ -171,7 +235,7 @@ def near_duplicates(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     named = rows.filter("id is not null")
     signed = scratch.save(
-        named.mapInArrow(_sign, f"id {kind}, d1 bigint, d2 bigint, bands array<bigint>").filter("size(bands) > 0"), "signed"
+        named.mapInArrow(_sign, f"id {kind}, d1 bigint, d2 bigint, bands array<bigint>, sig binary").filter("size(bands) > 0"), "signed"
     )
     found = scratch.save(signed.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "digests")
     copies = signed.select("id", "d1", "d2").join(found.filter("n > 1"), ["d1", "d2"]).filter("id <> rep")
@@ -194,34 +258,33 @@ def near_duplicates(
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "ca", "hb", "cb")
         return scratch.save(both.mapInArrow(_verifier(threshold), f"a {kind}, b {kind}"), "links")
 
-    tried = scratch.save(members.filter("id <> lo").select(F.col("id").alias("a"), F.col("lo").alias("b")).distinct(), "pairs")
-    links = copies.unionByName(verified(tried))
+    pairs = scratch.save(members.filter("id <> lo").select(F.col("id").alias("a"), F.col("lo").alias("b")).distinct(), "pairs")
+    links = copies.unionByName(verified(pairs))
     classes = connected_components(scratch, links)
-    for last in (False, True):
-        # members of buckets that still hold several components
+
+    def still_mixed() -> tuple[DataFrame, DataFrame]:
+        """Members with their roots, and the buckets of several roots with their sizes and commonest root."""
         root = classes.select(F.col("node").alias("id"), "root")
         placed = scratch.save(members.join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "placed")
-        mixed = placed.groupBy("key").agg(
-            F.min("root").alias("r1"), F.max("root").alias("r2"), F.max(F.struct("id", "root")).alias("top")
-        )
-        mixed = scratch.save(mixed.filter("r1 < r2"), "mixed")
-        if mixed.isEmpty():
-            break
-        open_ = placed.join(mixed, "key")
-        if last:
-            other = placed.select("key", F.col("id").alias("b"), F.col("root").alias("rb"))
-            pairs = open_.select("key", F.col("id").alias("a"), "root").join(other, "key").filter("root <> rb and a > b")
-        else:
-            pairs = open_.filter("root <> top.root").select(F.col("id").alias("a"), F.col("top.id").alias("b"))
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        pairs = scratch.save(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        tried = tried.unionByName(pairs)
-        more = verified(pairs)
-        if more.isEmpty():
-            continue
-        links = links.unionByName(more)
+        parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"), *[f(order("id")).alias(f"l{i}") for i, f in enumerate(LEADERS)])
+        whole = parts.groupBy("key").agg(
+            F.count("*").alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"),
+            *[f(F.struct(f"l{i}", "root")).alias(f"l{i}") for i, f in enumerate(LEADERS)],
+        )
+        return placed, scratch.save(whole.filter("roots > 1"), "mixed")
+
+    order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
+    placed, mixed = still_mixed()
+    if not mixed.isEmpty():
+        lead = F.explode(F.array(*[F.struct(F.col(f"l{i}.l{i}.id").alias("id"), F.col(f"l{i}.root").alias("root")) for i in range(len(LEADERS))]))
+        open_ = placed.join(mixed.select("key", lead.alias("lead")), "key").filter("root <> lead.root")
+        more = open_.select(F.greatest("id", "lead.id").alias("a"), F.least("id", "lead.id").alias("b")).distinct()
+        more = scratch.save(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        links = links.unionByName(verified(more))
+        classes = connected_components(scratch, links)
+        placed, mixed = still_mixed()
+    if not mixed.isEmpty():
+        links = links.unionByName(scratch.save(_blockwise(placed, mixed, signed, sets, threshold, kind), "links"))
         classes = connected_components(scratch, links)
     root = classes.select(F.col("node").alias("id"), "root")
     return (
