@@ -86,33 +86,32 @@ class EliasFano:
     def find(self, x: np.ndarray) -> np.ndarray:
         """The position of the successor of each x, the first number not less; n if there is none.
 
-        A zero ends each run of equal high bits, so the run of x's high bits begins behind the zero
-        before it; its low bits are scanned up to x's.
+        A zero ends each run of equal high bits, so the run of x's high bits lies between the zero
+        before it and its own; in it the low bits are searched by halving.
         """
         if not len(x) or not self.n:
             return np.zeros(len(x), np.int64)
         if self.zero_rank is None:
             self.zero_rank = np.arange(len(self.rank), dtype=np.int64) * (SPAN * 64) - self.rank
-        high, low = (x >> U(self.width)).astype(np.int64), x & U((1 << self.width) - 1)
         out = np.full(len(x), self.n, np.int64)
-        inside = np.flatnonzero(high <= self.zero_rank[-1] - 1)
-        bit = np.zeros(len(inside), np.int64)
-        later = high[inside] > 0
-        bit[later] = self._select(high[inside][later] - 1, self.zero_rank, True) + 1
-        position = bit - high[inside]
-        target = low[inside]
-        out[inside] = position
-        live = np.arange(len(inside))
+        inside = np.flatnonzero((x >> U(self.width)).astype(np.int64) < self.zero_rank[-1])
+        high, low = (x[inside] >> U(self.width)).astype(np.int64), x[inside] & U((1 << self.width) - 1)
+        # bits between the two zeros are the run; most runs are short and end in the same word
+        first = np.zeros(len(inside), np.int64)
+        later = np.flatnonzero(high > 0)
+        first[later] = self._select(high[later] - 1, self.zero_rank, True) + 1
+        word = ~self.high[first >> 6] >> (first & 63).astype(U)
+        length = np.bitwise_count((word & (~word + U(1))) - U(1)).astype(np.int64)
+        long = np.flatnonzero(word == 0)
+        length[long] = self._select(high[long], self.zero_rank, True) - first[long]
+        at = first - high
+        end = at + length
+        live = np.flatnonzero(length > 0)
         while len(live):
-            b = bit[live]
-            one = (b >> 6) < len(self.high)
-            one[one] = (self.high[b[one] >> 6] >> (b[one] & 63).astype(U) & U(1)).astype(bool)
-            live = live[one]
-            if not len(live):
-                break
-            small = self.low(position[live]) < target[live]
-            live = live[small]
-            bit[live] += 1
-            position[live] += 1
-        out[inside] = position
+            middle = (at[live] + end[live]) >> 1
+            small = self.low(middle) < low[live]
+            at[live[small]] = middle[small] + 1
+            end[live[~small]] = middle[~small]
+            live = live[at[live] < end[live]]
+        out[inside] = at
         return np.minimum(out, self.n)
