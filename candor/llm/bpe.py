@@ -23,7 +23,9 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +37,7 @@ _SETTLED = (
     "\u2100-\u214e\u3001-\u3003\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
 )
 #: Words kept with their tokens in each of two generations, so memory is bounded and frequent words stay.
-CACHE = 200_000
+CACHE = 150_000
 
 
 def byte_characters() -> list[str]:
@@ -189,6 +191,19 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _pieces(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``limit`` bytes, so that what is held in Python stays small."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if total and total + size > limit:
+            yield start, i
+            start, total = i, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def encode_documents(
     docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
 ) -> DataFrame:
@@ -205,20 +220,22 @@ def encode_documents(
         bpe = load(path)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
-            n, a, b, every = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                ids, decoded, count = bpe.encoded(text or "")
-                n.append(count)
-                a.append(sha(ids))
-                b.append(sha(decoded))
+            for lo, hi in _pieces(batch.column(1)):
+                n, a, b, every = [], [], [], []
+                for text in batch.column(1).slice(lo, hi - lo).to_pylist():
+                    ids, decoded, count = bpe.encoded(text or "")
+                    n.append(count)
+                    a.append(sha(ids))
+                    b.append(sha(decoded))
+                    if with_ids:
+                        every.append(np.fromstring(ids, np.int32, sep=" ") if ids else np.zeros(0, np.int32))
+                columns = [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+                names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    every.append([int(i) for i in ids.split()])
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
-            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns.append(pa.array(every, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+                    ends = np.concatenate([[0], np.cumsum([len(x) for x in every])]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(every))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
