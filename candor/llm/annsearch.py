@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from candor.llm.scratch import Scratch
 from candor.llm.vectors import matrix, usable
+from candor.llm.workers import bound_batches, release, trimmed
 
 TREES = 8
 DEPTH = 8
@@ -101,6 +102,7 @@ def search(
     columns are ignored.
     """
     spark = vectors.sparkSession
+    bound_batches(spark)
     scratch = Scratch(spark, "annsearch")
     kind = vectors.schema[id_col].dataType.simpleString()
 
@@ -131,7 +133,7 @@ def search(
             at = forest.leaves(lifted(matrix(b.column(1))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(at.astype(np.int32)), pa.list_(pa.int32()))], ["id", "v", "leaf"])
 
-    indexed = scratch.save(of_width(vectors).mapInArrow(place, f"id {kind}, v array<double>, leaf array<int>"), "index")
+    indexed = scratch.save(of_width(vectors).mapInArrow(trimmed(place), f"id {kind}, v array<double>, leaf array<int>"), "index")
     counted = indexed.select(F.posexplode("leaf").alias("tree", "leaf")).groupBy("tree", "leaf").count().collect()
     sizes = np.zeros((TREES, 2**DEPTH), np.int64)  # a number for each leaf, whatever the input
     for r in counted:
@@ -182,8 +184,8 @@ def search(
                 yield pa.RecordBatch.from_arrays([pa.array(g), b.column(0), b.column(1), leaves], ["g", "id", "v", "leaves"])
 
     rows = f"g int, id {kind}, v array<double>, leaves array<int>"
-    entries = indexed.select("id", "v", "leaf", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("h")).mapInArrow(spread, rows)
-    asked = of_width(queries).select("id", "v").distinct().mapInArrow(ask, rows)
+    entries = indexed.select("id", "v", "leaf", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("h")).mapInArrow(trimmed(spread), rows)
+    asked = of_width(queries).select("id", "v").distinct().mapInArrow(trimmed(ask), rows)
     both = entries.withColumn("query", F.lit(False)).unionByName(asked.withColumn("query", F.lit(True)))
 
     def rank(table: pa.Table) -> pa.Table:
@@ -217,6 +219,7 @@ def search(
                     out_q += [ids[at[row]]] * len(best)
                     out_v += ids[to[seen[best]]].tolist()
                     out_s += exact[best].tolist()
+        release()
         return pa.table({"query_id": pa.array(out_q, id_type), "id": pa.array(out_v, id_type), "score": pa.array(out_s, pa.float64())})
 
     found = both.groupBy("g").applyInArrow(rank, f"query_id {kind}, id {kind}, score double").distinct()

@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from candor.llm.workers import bound_batches, trimmed
+
 SHORT = 64
 #: Characters whose class, case and composition every Unicode version since 5 gives alike.
 _SETTLED = (
@@ -37,7 +39,7 @@ _SETTLED = (
     "\u2100-\u214e\u3001-\u3003\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
 )
 #: Words kept with their tokens in each of two generations, so memory is bounded and frequent words stay.
-CACHE = 150_000
+CACHE = 60_000
 
 
 def byte_characters() -> list[str]:
@@ -213,6 +215,7 @@ def encode_documents(
     Null text is empty and has no tokens. Ids pass through, null and repeated ones too; an empty table
     gives an empty table; further columns are ignored. The file at path is read on the executors.
     """
+    bound_batches(docs.sparkSession)
     path = path or default_path()
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -239,4 +242,4 @@ def encode_documents(
 
     schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(encode, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(trimmed(encode), schema).withColumnRenamed("id", id_col)

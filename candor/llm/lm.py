@@ -27,6 +27,7 @@ from candor.llm import eliasfano, sharedfiles
 from candor.llm import textkernel as tk
 from candor.llm.eliasfano import EliasFano
 from candor.llm.scratch import Scratch
+from candor.llm.workers import bound_batches, release, trimmed
 
 U = np.uint64
 #: The end of a text, a token and the context of its first word.
@@ -214,10 +215,11 @@ class BigramModel:
 def train(docs: DataFrame, text_col: str = "text", scratch: Scratch | None = None) -> BigramModel:
     """Counts docs and writes the trie; null text is empty. Ids are 32 bits, so up to 4e9 distinct words."""
     spark = docs.sparkSession
+    bound_batches(spark)
     scratch = scratch or Scratch(spark, "lm")
     root = f"{scratch.root}/trie"
     texts = docs.select(F.col(text_col).alias("text"))
-    words = texts.mapInArrow(_count_words, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+    words = texts.mapInArrow(trimmed(_count_words), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
     words = scratch.save(words, "words")
     tokens = words.agg(F.sum("c")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, tokens / SHARD_TOKENS))))
@@ -284,10 +286,11 @@ def train(docs: DataFrame, text_col: str = "text", scratch: Scratch | None = Non
             arrays |= {f"{name}_{k}": a for k, a in eliasfano.build(values).items()}
         sharedfiles.write(root, f"pairs-{s}", arrays)
         sharedfiles.write(root, f"counts-{s}", {"c": count.astype(np.uint32)})
+        release()
         of = np.bincount(np.minimum(count, 5), minlength=6)[1:5]
         return pa.table({"s": pa.array([s], pa.int32()), "of": pa.array([of.tolist()], pa.list_(pa.int64()))})
 
-    pairs = texts.mapInArrow(count_pairs, "s int, n bigint, keys binary, few binary, many binary")
+    pairs = texts.mapInArrow(trimmed(count_pairs), "s int, n bigint, keys binary, few binary, many binary")
     made = pairs.repartition(max(1, min(1 << bits, 4096)), "s").groupBy("s").applyInArrow(write_pairs, "s int, of array<bigint>").collect()
     n1, n2, n3, n4 = np.array([r["of"] for r in made], np.float64).reshape(-1, 4).sum(0)
     y = n1 / max(1.0, n1 + 2 * n2)
@@ -327,7 +330,7 @@ def train(docs: DataFrame, text_col: str = "text", scratch: Scratch | None = Non
     shards = [r["s"] for r in made]
     if shards:
         todo = spark.createDataFrame([(s,) for s in shards], "s int").repartition(len(shards))
-        todo.mapInArrow(write_probs, "s int").collect()
+        todo.mapInArrow(trimmed(write_probs), "s int").collect()
     scratch.drop(words)
     return model
 
@@ -358,7 +361,7 @@ def score_documents(docs: DataFrame, model: BigramModel, id_col: str = "doc_id",
                 )
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        score, f"id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+        trimmed(score), f"id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     )
     return out.withColumnRenamed("id", id_col)
 

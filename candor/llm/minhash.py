@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from candor.llm import textkernel as tk
 from candor.llm.components import connected_components
 from candor.llm.scratch import Scratch
+from candor.llm.workers import bound_batches, release, trimmed
 
 U = np.uint64
 ROWS, BANDS = 5, 25
@@ -214,6 +215,7 @@ def _blockwise(placed: DataFrame, mixed: DataFrame, signed: DataFrame, sets: Dat
                     parent[top(roots[k])] = top(roots[m])
                     a.append(ids[k])
                     b.append(ids[m])
+        release()
         return pa.table({"a": pa.array(a, table["id"].type), "b": pa.array(b, table["id"].type)})
 
     return rows.groupBy("key", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}")
@@ -230,12 +232,13 @@ def near_duplicates(
     An empty table gives an empty table; further columns are ignored.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     scratch = scratch or Scratch(spark, "minhash")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     named = rows.filter("id is not null")
     signed = scratch.save(
-        named.mapInArrow(_sign, f"id {kind}, d1 bigint, d2 bigint, bands array<bigint>, sig binary").filter("size(bands) > 0"), "signed"
+        named.mapInArrow(trimmed(_sign), f"id {kind}, d1 bigint, d2 bigint, bands array<bigint>, sig binary").filter("size(bands) > 0"), "signed"
     )
     found = scratch.save(signed.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "digests")
     copies = signed.select("id", "d1", "d2").join(found.filter("n > 1"), ["d1", "d2"]).filter("id <> rep")
@@ -249,14 +252,14 @@ def near_duplicates(
     members = scratch.save(buckets.join(shared, "key").select("key", "id", "lo", "hi"), "members")
     wanted = members.select("id").distinct()
     sets = scratch.save(
-        named.join(wanted, "id", "left_semi").mapInArrow(_shingle_rows, f"id {kind}, h binary, c binary"), "sets"
+        named.join(wanted, "id", "left_semi").mapInArrow(trimmed(_shingle_rows), f"id {kind}, h binary, c binary"), "sets"
     )
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.col("c").alias("ca"))
         right = sets.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.col("c").alias("cb"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "ca", "hb", "cb")
-        return scratch.save(both.mapInArrow(_verifier(threshold), f"a {kind}, b {kind}"), "links")
+        return scratch.save(both.mapInArrow(trimmed(_verifier(threshold)), f"a {kind}, b {kind}"), "links")
 
     pairs = scratch.save(members.filter("id <> lo").select(F.col("id").alias("a"), F.col("lo").alias("b")).distinct(), "pairs")
     links = copies.unionByName(verified(pairs))

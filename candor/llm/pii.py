@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from candor.llm.workers import bound_batches, release, trimmed
+
 KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -281,8 +283,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Null and empty texts have no spans. Ids are passed through, null and repeated ones too; an empty
     table gives an empty table; further columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_detect, f"id {kind}, {_FIELDS}")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(_detect), f"id {kind}, {_FIELDS}")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -301,8 +304,12 @@ def redact_text(text: str) -> str:
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with personal data replaced in text_col; null texts stay null, other columns as they are."""
 
+    bound_batches(docs.sparkSession)
+
     @F.arrow_udf("string")
     def redact(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else redact_text(t) for t in texts.to_pylist()], pa.string())
+        out = pa.array([None if t is None else redact_text(t) for t in texts.to_pylist()], pa.string())
+        release()
+        return out
 
     return docs.withColumn(text_col, redact(F.col(text_col)))

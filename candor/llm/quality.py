@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from candor.llm import linear
 from candor.llm import textkernel as tk
 from candor.llm.scratch import Scratch
+from candor.llm.workers import bound_batches, release, trimmed
 
 #: Labelled documents that the classifier is fitted on, at most; which ones is a hash of their ids.
 TRAINING_ROWS = 20_000
@@ -96,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column(1)], ["x", "y"])
 
     rows = training_rows(docs, labels.filter("quality is not null").select(id_col, "quality"), ["quality"], bound, id_col, text_col)
-    got = rows.select("__text", F.col("quality").cast("double").alias("y")).mapInArrow(compute, "x array<double>, y double").toArrow()
+    got = rows.select("__text", F.col("quality").cast("double").alias("y")).mapInArrow(trimmed(compute), "x array<double>, y double").toArrow()
     x = np.array(got["x"].to_pylist(), np.float64).reshape(-1, len(FEATURES))
     y = np.asarray(got["y"], np.float64)
     weights, bias = linear.fit(x, y)
@@ -109,7 +110,9 @@ def evidence(model: tuple[np.ndarray, float], text: Column) -> Column:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(np.clip(features_of(texts) @ weights + bias, -30, 30))
+        out = pa.array(np.clip(features_of(texts) @ weights + bias, -30, 30))
+        release()
+        return out
 
     return score(text)
 
@@ -147,6 +150,7 @@ def site_shares(scratch: Scratch, scored: DataFrame, prior: float) -> tuple[Data
 
 def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host_col: str, path_cols: tuple[str, ...]) -> DataFrame:
     """docs with __z, __site, __posterior."""
+    bound_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "quality")
     model = fit(docs, labels, id_col, text_col)
     path = F.to_json(F.struct(*[F.col(c).cast("string").alias(f"p{i}") for i, c in enumerate(path_cols)]))

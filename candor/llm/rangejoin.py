@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from candor.llm.components import connected_components
 from candor.llm.scratch import Scratch
 from candor.llm.vectors import matrix, unit, usable
+from candor.llm.workers import bound_batches, release, trimmed
 
 #: Pivots of each label, at most; they and the cells' radii are all that executors get besides rows.
 PIVOTS = 16
@@ -64,6 +65,7 @@ def range_join(
     empty table gives an empty table; further columns are ignored.
     """
     spark = vectors.sparkSession
+    bound_batches(spark)
     scratch = Scratch(spark, "rangejoin")
     kind = vectors.schema[id_col].dataType.simpleString()
     label_kind = vectors.schema[label_col].dataType.simpleString()
@@ -92,7 +94,7 @@ def range_join(
             yield pa.RecordBatch.from_arrays([*columns, pa.array(cells, pa.int32()), pa.array(all_gaps, pa.list_(pa.float64()))], [*b.schema.names, "cell", "gaps"])
 
     placed = groups.select("label", "embedding", "vec_id", "n", "width").mapInArrow(
-        home, f"label {label_kind}, embedding {dict(groups.dtypes)['embedding']}, vec_id {kind}, n bigint, width int, cell int, gaps array<double>"
+        trimmed(home), f"label {label_kind}, embedding {dict(groups.dtypes)['embedding']}, vec_id {kind}, n bigint, width int, cell int, gaps array<double>"
     )
     placed = scratch.save(placed, "placed")
     # a label's cells: own members, radius; bounded by LABELS * PIVOTS, plus one for each further label
@@ -144,6 +146,7 @@ def range_join(
                     b.append(ids[m])
                     n.append(0)
         id_type = table["vec_id"].type
+        release()
         return pa.table({"a": pa.array(a, id_type), "b": pa.array(b, id_type), "n": pa.array(n, pa.int64())})
 
     found = left.unionByName(right).groupBy("label", "width", "to", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}, n bigint")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from candor.llm import linear, quality
 from candor.llm import textkernel as tk
 from candor.llm.scratch import Scratch
+from candor.llm.workers import bound_batches, trimmed
 
 #: Labelled documents that the chain is fitted on, at most; which ones is a hash of their ids.
 TRAINING_ROWS = 20_000
@@ -118,14 +119,14 @@ def _best_cut(p: np.ndarray, y: np.ndarray) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", bound: int = TRAINING_ROWS) -> Chain:
     """labels: id_col and a 0/1 column for each category, in the chain's order; rows with a null are left out."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "toxicity")
+    bound_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "toxicity")
     full = labels.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in categories)).select(id_col, *categories)
     rows = quality.training_rows(docs, full, categories, bound, id_col, text_col)
     rows = scratch.save(rows.select(F.col("__text").alias("text"), *[F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories)]), "rows")
     ys = [f"y{i}" for i in range(len(categories))]
     n, *positives = rows.agg(F.count("*"), *[F.coalesce(F.sum(y), F.lit(0)) for y in ys]).first()
-    seen = rows.mapInArrow(_distinct_words, "h bigint, " + ", ".join(f"{y} int" for y in ys))
+    seen = rows.mapInArrow(trimmed(_distinct_words), "h bigint, " + ", ".join(f"{y} int" for y in ys))
     counts = scratch.save(seen.groupBy("h").agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys]).filter(F.col("n") >= LEAST_DOCUMENTS), "counts")
     chosen: set[int] = set()
     for y, k in zip(ys, positives, strict=True):
@@ -143,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
             x = [r.astype(np.float32).tobytes() for part in _features(b.column(0), vocabulary) for r in part]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), b.column(1), b.column(2)], ["x", "y", "fold"])
 
-    got = told.mapInArrow(with_labels, "x binary, y string, fold int").toArrow()
+    got = told.mapInArrow(trimmed(with_labels), "x binary, y string, fold int").toArrow()
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, width).astype(np.float64)
     y = np.array([[int(c) for c in row] for row in got["y"].to_pylist()], np.float64).reshape(-1, len(categories))
     links, cuts = fit_links(x, y, np.asarray(got["fold"]))
@@ -169,5 +170,5 @@ def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column(0), *columns, *flags], ["id", *(f"p_{c}" for c in chain.categories), *chain.categories])
 
     fields = [f"p_{c} double" for c in chain.categories] + [f"{c} boolean" for c in chain.categories]
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(predict, f"id {kind}, " + ", ".join(fields))
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(predict), f"id {kind}, " + ", ".join(fields))
     return out.withColumnRenamed("id", id_col)
