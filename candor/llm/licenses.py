@@ -140,11 +140,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 ORACLE = f"""
-WITH tp(tpl, label, base, at, bit, len, w0, w1) AS (VALUES {", ".join(_place_values())}),
+WITH tp(tpl, label, base, pos, bit, len, w0, w1) AS (VALUES {", ".join(_place_values())}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
 e AS (SELECT rid, w, unnest(range(1, len(w))) AS p FROM d),
-h AS (SELECT rid, tpl, label, base, len, bit, p - 1 - at AS diagonal FROM e JOIN tp ON w[p] = w0 AND w[p + 1] = w1),
+h AS (SELECT rid, tpl, label, base, len, bit, p - 1 - pos AS diagonal FROM e JOIN tp ON w[p] = w0 AND w[p + 1] = w1),
 v AS (SELECT rid, tpl, label, base, len, diagonal, bit_or(bit) AS mask FROM h GROUP BY ALL),
 o AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, tpl ORDER BY diagonal) <= {GAP} THEN 0 ELSE 1 END AS fresh FROM v),
 c AS (SELECT *, sum(fresh) OVER (PARTITION BY rid, tpl ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS place,
