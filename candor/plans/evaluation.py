@@ -13,7 +13,7 @@ WITH = f"WITH {SAMPLES}, {SPLIT}"
 
 
 def r6(c, name: str):
-    return F.round(c, 6).alias(name)
+    return (F.round(c, 6) + F.lit(0.0)).alias(name)  # no negative zero
 
 
 def manifest(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,7 +132,7 @@ def agg9_eval_header(spark, sf):
     )
 
 
-@query(f"{WITH} SELECT round(quantile_cont(p, 0.9), 6) AS threshold, round(-ln((quantile_cont(p, 0.9) + 1e-6) / (1 - quantile_cont(p, 0.9) + 1e-6)), 6) AS shift FROM m WHERE label = 'real' AND split = 'train'")
+@query(f"{WITH} SELECT round(quantile_cont(p, 0.9), 6) AS threshold, round(-ln((quantile_cont(p, 0.9) + 1e-6) / (1 - quantile_cont(p, 0.9) + 1e-6)), 6) + 0 AS shift FROM m WHERE label = 'real' AND split = 'train'")
 def agg14_quantile_threshold(spark, sf):
     from candor.functions.scores import calibration_shift
 

@@ -13,7 +13,7 @@ from candor.sources.tables import FRAMES, META, SERIES, frames, meta, series, si
 
 
 def r6(c, name: str):
-    return F.round(c, 6).alias(name)
+    return (F.round(c, 6) + F.lit(0.0)).alias(name)  # no negative zero
 
 
 @query(f"WITH {FRAMES} SELECT video, detector, round(avg(score), 6) AS mean FROM signals GROUP BY ALL")
@@ -111,7 +111,7 @@ def dec8_audio_verdict(spark, sf):
     return frames(spark, sf).select("video", "frame", sc.audio_verdict(F.round("clip", 9)).alias("verdict"))
 
 
-@query(f"WITH {FRAMES} SELECT video, frame, round(1 / (1 + exp(-(ln((clip + 1e-6) / (1 - clip + 1e-6)) + 0.3))), 6) AS p, round(-ln((freq + 1e-6) / (1 - freq + 1e-6)), 6) AS shift FROM frames")
+@query(f"WITH {FRAMES} SELECT video, frame, round(1 / (1 + exp(-(ln((clip + 1e-6) / (1 - clip + 1e-6)) + 0.3))), 6) AS p, round(-ln((freq + 1e-6) / (1 - freq + 1e-6)), 6) + 0 AS shift FROM frames")
 def mth1_logit_nudge(spark, sf):
     return frames(spark, sf).select("video", "frame", r6(sc.nudge(F.col("clip"), F.lit(0.3)), "p"), r6(sc.calibration_shift(F.col("freq")), "shift"))
 
@@ -133,9 +133,9 @@ def win1_smooth(spark, sf):
     return series(spark, sf).select("kind", "i", r6(se.smooth("mouth", ["kind"]), "smooth"))
 
 
-@query(f"WITH {SERIES} SELECT kind, i, round(CASE WHEN stddev_pop(audio) OVER w > 1e-9 THEN (audio - avg(audio) OVER w) / stddev_pop(audio) OVER w ELSE 0 END, 5) AS z FROM series WINDOW w AS (PARTITION BY kind)")
+@query(f"WITH {SERIES} SELECT kind, i, round(CASE WHEN stddev_pop(audio) OVER w > 1e-9 THEN (audio - avg(audio) OVER w) / stddev_pop(audio) OVER w ELSE 0 END, 5) + 0 AS z FROM series WINDOW w AS (PARTITION BY kind)")
 def win2_zscore(spark, sf):
-    return series(spark, sf).select("kind", "i", F.round(se.zscore("audio", ["kind"]), 5).alias("z"))
+    return series(spark, sf).select("kind", "i", (F.round(se.zscore("audio", ["kind"]), 5) + F.lit(0.0)).alias("z"))
 
 
 @query(f"WITH {SERIES} SELECT kind, i, round(coalesce(abs(mouth - lag(mouth) OVER (PARTITION BY kind ORDER BY i)), 0), 6) AS motion FROM series")
@@ -156,12 +156,12 @@ c AS (SELECT a.kind, lag, count(*) AS n, covar_pop(a.mouth, b.audio) AS cv, stdd
 k AS (SELECT kind, lag, n, cv / (sx * sy) AS c FROM c WHERE n >= 8 AND sx >= 1e-9 AND sy >= 1e-9)"""
 
 
-@query(f"WITH {_LAG} SELECT kind, lag, n, round(c, 6) AS c FROM k", name="agg17_lag_correlation")
+@query(f"WITH {_LAG} SELECT kind, lag, n, round(c, 6) + 0 AS c FROM k", name="agg17_lag_correlation")
 def agg17_lag_corr(spark, sf):
     return se.lag_correlation(series(spark, sf), ["kind"], "mouth", "audio", 6).select("kind", "lag", "n", r6(F.col("c"), "c"))
 
 
-@query(f"WITH {_LAG}, q AS (SELECT kind, lag, round(c, 9) AS c FROM k) SELECT kind, lag, round(c, 6) AS c FROM q QUALIFY row_number() OVER (PARTITION BY kind ORDER BY c DESC, lag) = 1")
+@query(f"WITH {_LAG}, q AS (SELECT kind, lag, round(c, 9) AS c FROM k) SELECT kind, lag, round(c, 6) + 0 AS c FROM q QUALIFY row_number() OVER (PARTITION BY kind ORDER BY c DESC, lag) = 1")
 def win7_best_lag(spark, sf):
     c = se.lag_correlation(series(spark, sf), ["kind"], "mouth", "audio", 6).withColumn("c", F.round("c", 9))
     return se.best_lag(c, ["kind"]).select("kind", "lag", r6(F.col("c"), "c"))
@@ -200,7 +200,7 @@ def agg16_rms(spark, sf):
 
 
 @query("""WITH u AS (SELECT vec_id, label, i, embedding[i]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i) t)
-SELECT label, (i - 1)::INT AS i, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS sd FROM u GROUP BY ALL""")
+SELECT label, (i - 1)::INT AS i, round(avg(x), 6) + 0 AS mean, round(stddev_samp(x), 6) AS sd FROM u GROUP BY ALL""")
 def agg19_pooling(spark, sf):
     u = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
     return u.groupBy("label", "i").agg(r6(F.avg("x"), "mean"), r6(F.stddev_samp("x"), "sd"))

@@ -10,7 +10,7 @@ from candor.sources.tables import META, meta, table
 
 
 def r6(c, name: str):
-    return F.round(c, 6).alias(name)
+    return (F.round(c, 6) + F.lit(0.0)).alias(name)  # no negative zero
 
 
 @query(f"""WITH {META} SELECT media, CASE WHEN ai_marker IS NOT NULL THEN 0.97::DOUBLE WHEN editor IS NOT NULL THEN 0.55::DOUBLE WHEN camera IS NOT NULL THEN 0.35::DOUBLE ELSE 0.5::DOUBLE END AS score,
@@ -31,7 +31,7 @@ def mth9_jpeg_quality(spark, sf):
 
 
 @query("""WITH v AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings)
-SELECT vec_id, round(embedding[1] / norm, 6) AS first, round(embedding[64] / norm, 6) AS last FROM v""")
+SELECT vec_id, round(embedding[1] / norm, 6) + 0 AS first, round(embedding[64] / norm, 6) + 0 AS last FROM v""")
 def mth10_l2(spark, sf):
     v = table(spark, sf, "embeddings").withColumn("v", sc.l2_normalise(F.transform("embedding", lambda x: x * 3)))
     return v.select("vec_id", r6(F.get("v", F.lit(0)), "first"), r6(F.get("v", F.lit(63)), "last"))
