@@ -123,7 +123,7 @@ def mth3_corr_score(spark, sf):
     )
 
 
-@query(f"WITH {FRAMES} SELECT video, frame, round(CASE WHEN frame % 3 = 0 THEN 0 WHEN round(clip, 9) >= 0.5 THEN 1.5 * (2 * clip - 1) ELSE -0.4 * (1 - 2 * clip) END, 6)::DOUBLE AS shift FROM frames")
+@query(f"WITH {FRAMES} SELECT video, frame, round(CASE WHEN frame % 3 = 0 THEN 0 WHEN round(clip, 9) >= 0.5 THEN 1.5 * (2 * clip - 1) ELSE -0.4 * (1 - 2 * clip) END, 6)::DOUBLE + 0 AS shift FROM frames")
 def mth5_lipsync_shift(spark, sf):
     return frames(spark, sf).select("video", "frame", r6(sc.lipsync_shift(F.col("clip"), F.col("frame") % 3 != 0), "shift"))
 
