@@ -101,9 +101,10 @@ def shingles(words: Words, hashes: np.ndarray, k: int = 5) -> tuple[np.ndarray,
     n = len(hashes)
     counts = words.counts()
     mult = U(0xD6E8FEB86659FD93)
-    rolled = np.zeros(max(0, n - k + 1), U)
+    whole = max(0, n - k + 1)
+    rolled = np.zeros(whole, U)
     for j in range(k):
-        rolled = rolled * mult + hashes[j : n - k + 1 + j]
+        rolled = rolled * mult + hashes[j : whole + j]
     inside = words.doc[: len(rolled)] == words.doc[k - 1 :] if len(rolled) else np.zeros(0, bool)
     doc, out = words.doc[: len(rolled)][inside], mix(rolled[inside])
     short = np.flatnonzero((counts > 0) & (counts < k))
