@@ -39,7 +39,7 @@ _SETTLED = (
     "\u2100-\u214e\u3001-\u3003\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
 )
 #: Words kept with their tokens in each of two generations, so memory is bounded and frequent words stay.
-CACHE = 60_000
+CACHE = 150_000
 
 
 def byte_characters() -> list[str]:
