@@ -32,7 +32,7 @@ from candor.llm.workers import bound_batches, release, trimmed
 U = np.uint64
 #: The end of a text, a token and the context of its first word.
 END = U(0x5EED0FE2D0FA11ED)
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 #: Tokens that a task combines before it hands their counts on.
 BUFFER = 2_000_000
 CHUNK = 1 << 21
