@@ -26,10 +26,10 @@ def agg11_frame_cross_detector(spark, sf):
     return signals(spark, sf).groupBy("video", "frame").agg(r6(F.avg("score"), "mean"))
 
 
-@query(f"WITH {FRAMES}, d AS (SELECT video, detector, stddev_pop(score) AS sd FROM signals GROUP BY ALL) SELECT video, round(avg(sd), 6) AS inconsistency, round(least(1, 2 * avg(sd)), 6) AS score FROM d GROUP BY video")
+@query(f"WITH {FRAMES}, d AS (SELECT video, detector, stddev_pop(score) AS sd FROM signals GROUP BY ALL) SELECT video, round(avg(sd), 9) AS inconsistency, round(least(1, 2 * avg(sd)), 9) AS score FROM d GROUP BY video")
 def agg12_inconsistency(spark, sf):
     d = signals(spark, sf).groupBy("video", "detector").agg(F.stddev_pop("score").alias("sd")).groupBy("video").agg(F.avg("sd").alias("x"))
-    return d.select("video", r6(F.col("x"), "inconsistency"), r6(sc.consistency_score(F.col("x")), "score"))
+    return d.select("video", F.round("x", 9).alias("inconsistency"), F.round(sc.consistency_score(F.col("x")), 9).alias("score"))
 
 
 @query(f"WITH {FRAMES} SELECT video, detector, count(*) AS n, round(max(score), 6) AS most, round(stddev_pop(score), 6) AS sd FROM signals GROUP BY ALL")
