@@ -169,6 +169,29 @@ AI_TOOLS = (
 )
 GENERATION = r"(?i)parameters|prompt|negative prompt|sampler|cfg scale"
 EDITORS = r"(?i)photoshop|lightroom|gimp|snapseed|facetune|faceapp|canva|picsart|capcut|affinity"
+# Fixed value: the mark for files that name themselves synthetic in their source type.
+AI_SOURCE = "IPTC digital source type: AI-generated"
+
+
+def _match(text: Column, pattern: str) -> Column:
+    return F.nullif(F.regexp_extract(text, pattern, 0), F.lit(""))
+
+
+def ai_marker(software: Column, text: Column, ai_source: Column) -> Column:
+    """The first mark of generation: a tool's name in software or text, a generation parameter in text, the declared source; else null."""
+    both = F.concat_ws(" ", F.coalesce(software, F.lit("")), text)
+    return F.coalesce(_match(both, AI_TOOLS), _match(text, GENERATION), F.when(ai_source, AI_SOURCE))
+
+
+def editor(software: Column) -> Column:
+    return F.when(software.rlike(EDITORS), software)
+
+
+def camera(make: Column, model: Column) -> Column:
+    """Make and model, null where both are missing or blank."""
+    return F.nullif(F.trim(F.concat_ws(" ", F.trim(F.coalesce(make, F.lit(""))), F.trim(F.coalesce(model, F.lit(""))))), F.lit(""))
+
+
 KINDS = {"image": ("jpg", "jpeg", "png", "webp", "bmp"), "video": ("mp4", "mov", "avi", "mkv", "webm"), "audio": ("wav", "mp3", "flac", "m4a", "ogg")}
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candor.functions import kernels
+from candor.functions import headers, kernels
+from candor.functions import scores as sc
 from candor.functions.scores import media_kind
 
 #: Bytes at a file's head that are searched for provenance marks.
@@ -31,6 +32,41 @@ def provenance(content: Column) -> Column:
     return F.struct(text.contains("trainedAlgorithmicMedia").alias("ai_source"), (text.contains("c2pa") | text.contains("jumbf")).alias("c2pa"))
 
 
+_HEADER = T.StructType(
+    [
+        T.StructField("format", T.StringType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()),
+        T.StructField("has_exif", T.BooleanType()), *(T.StructField(n, T.StringType()) for n in ("make", "model", "software", "text")),
+        T.StructField("mean_luma", T.DoubleType()),
+    ]
+)
+
+
+@F.arrow_udf(_HEADER)
+def metadata(content: pa.Array) -> pa.Array:
+    """struct of headers.Header for the bytes of a file; all null or empty for what is no known image."""
+    kind = pa.struct([("format", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("has_exif", pa.bool_()),
+                      *((n, pa.string()) for n in ("make", "model", "software", "text")), ("mean_luma", pa.float64())])
+    return pa.array([headers.parse(raw or b"")._asdict() for raw in content.to_pylist()], kind)
+
+
+def declared(content: Column) -> Column:
+    """struct of what a file declares: its header's fields, camera, editor, AI mark, C2PA, JPEG quality and the signal."""
+    m = metadata(content)
+    return F.transform(F.array(F.struct(m.alias("m"), provenance(content).alias("p"))), lambda x: _declared(x["m"], x["p"]))[0]
+
+
+def _declared(m: Column, marks: Column) -> Column:
+    camera = sc.camera(m["make"], m["model"])
+    editor = sc.editor(m["software"])
+    marker = sc.ai_marker(m["software"], m["text"], marks["ai_source"])
+    signal = sc.metadata_signal(marker, editor, camera)
+    return F.struct(
+        m["format"].alias("format"), m["width"].alias("width"), m["height"].alias("height"), m["has_exif"].alias("has_exif"), camera.alias("camera"),
+        m["software"].alias("software"), editor.alias("editor"), marker.alias("ai_marker"), marks["c2pa"].alias("c2pa"),
+        F.when(m["mean_luma"].isNotNull(), sc.jpeg_quality(m["mean_luma"])).alias("jpeg_quality"), signal.alias("signal"),
+    )
+
+
 def images(spark: SparkSession, path: str) -> DataFrame:
     """(path, height, width, rgb): decoded images; those that can't be decoded are left out."""
     df = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path)
