@@ -101,6 +101,34 @@ def downscale(rgb: np.ndarray, factor: float = 0.5) -> np.ndarray:
     return np.clip(np.round(resize(rgb.astype(np.float64), h, w)), 0, 255).astype(np.uint8)
 
 
+def contrast(rgb: np.ndarray) -> float:
+    """The deviation of the luma, at most 1: a score that needs no model."""
+    return float(min(1.0, luma(rgb).std() / 128))
+
+
+def crop(rgb: np.ndarray, box: tuple[int, int, int, int], side: int = 224) -> np.ndarray:
+    """The part of an image in (x0, y0, x1, y1), resized to a square, after one JPEG round trip that levels out file formats."""
+    x0, y0, x1, y1 = box
+    part = resize(rgb[y0:y1, x0:x1].astype(np.float64), side, side)
+    return jpeg(np.clip(np.round(part), 0, 255).astype(np.uint8), 75)
+
+
+def splice(rgb: np.ndarray, seed: int) -> np.ndarray:
+    """The image with a patch of itself, an eighth to a quarter of its shorter side, recompressed and pasted elsewhere."""
+    rng = np.random.default_rng(seed)
+    h, w = rgb.shape[:2]
+    short = min(h, w)
+    size = int(rng.integers(max(1, short // 8), max(2, short // 4 + 1)))
+    y, x, to_y, to_x = (int(rng.integers(0, n - size + 1)) for n in (h, w, h, w))
+    out = rgb.copy()
+    out[to_y : to_y + size, to_x : to_x + size] = jpeg(rgb[y : y + size, x : x + size], int(rng.choice([60, 70, 80])))
+    return jpeg(out, 90)
+
+
+#: Scores of an image that need no trained model; the others are columns made by operators.learning.
+SCORERS = {"dummy": contrast, "ela": lambda x: error_levels(x)[1]}
+
+
 def _unavailable(name: str):
     def raises(*_):
         raise NotImplementedError(f"{name} needs a video or audio codec, which this engine does not contain")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candor.functions.scores import correlation_score, lipsync_gate
+
 
 def smooth(c: str, by: list[str], order: str = "i") -> Column:
     """The mean of three neighbours; what is missing at the ends counts as 0."""
@@ -72,3 +74,42 @@ def frame_sample(total: Column, n: int = 16) -> Column:
     """n frame numbers spread evenly over 0..total-1, truncated, without repeats."""
     last = F.greatest(total - 1, F.lit(0))
     return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.floor(k * last / F.lit(n - 1)).cast("bigint")))
+
+
+def _coupling(df: DataFrame, by: list[str], most: int) -> DataFrame:
+    """(*by, lag, c): the best lag of the smoothed series; rows without any valid lag are absent."""
+    smoothed = df.select(*by, "i", smooth("mouth", by).alias("mouth"), smooth("audio", by).alias("audio"))
+    found = lag_correlation(smoothed, by, "mouth", "audio", most).withColumn("c", F.round("c", 9))
+    return best_lag(found, by)
+
+
+def lipsync(df: DataFrame, by: list[str], fps: float, face_share: float = 1.0) -> DataFrame:
+    """(*by, status, reason, score, c, lag, ranges) for series of mouth motion and loudness by frame.
+
+    Status is in_sync, out_of_sync or not_checked, the latter with its reason and a score of one
+    half. Ranges (frames, end exclusive) are where speech goes without its motion, only for those
+    out of sync. All steps group and join on ``by``; a series is never gathered as an array.
+    """
+    width, most = int(2 * fps), round(0.25 * fps)
+    top = df.groupBy(*by).agg(F.percentile("audio", F.lit(0.95)).alias("p95"), F.max("audio").alias("top"))
+    told = df.join(top, by).withColumn("speech", ((F.col("top") > 1e-6) & (F.col("audio") > 0.2 * F.col("p95"))).cast("int")).drop("p95", "top")
+    whole = told.groupBy(*by).agg(F.count("*").alias("n"), F.avg("speech").alias("share"), F.stddev_pop("mouth").alias("sd"))
+    gate = lipsync_gate(F.col("n"), F.lit(float(fps)), F.lit(float(face_share)), F.col("share"), F.col("sd"))
+    best = whole.withColumn("gate", gate).join(_coupling(df, by, most), by, "left")
+    best = best.withColumn("c", F.coalesce("c", F.lit(-1.0))).withColumn("lag", F.coalesce("lag", F.lit(0)))
+
+    windows = hop_windows(told, by, width)
+    share = windows.groupBy(*by, "start").agg(F.avg("speech").alias("share"))
+    loose = share.filter("share > 0.4").join(_coupling(windows, [*by, "start"], most), [*by, "start"], "left").filter("coalesce(c, -1) < 0.08")
+    ranges = coalesce_ranges(loose.select(*by, F.col("start").alias("s"), (F.col("start") + width).alias("e")), by)
+    ranges = ranges.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("ranges"))
+
+    checked = F.col("gate") == "checked"
+    score = F.when(checked, correlation_score(F.col("c"))).otherwise(F.lit(0.5))
+    out = best.join(ranges, by, "left").withColumn("score", score)
+    status = F.when(~checked, "not_checked").when(F.col("score") >= 0.5, "out_of_sync").otherwise("in_sync")
+    return out.withColumn("status", status).select(
+        *by, "status", F.when(~checked, F.col("gate")).alias("reason"), "score",
+        F.when(checked, F.col("c")).alias("c"), F.when(checked, F.col("lag")).alias("lag"),
+        F.when(F.col("status") == "out_of_sync", F.coalesce("ranges", F.array().cast("array<struct<s:bigint,e:bigint>>"))).alias("ranges"),
+    )

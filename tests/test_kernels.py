@@ -41,6 +41,15 @@ def test_error_levels_are_in_range():
     assert heat.shape == (128, 128) and 0 <= heat.min() and heat.max() <= 1 and 0 <= score <= 1
 
 
+def test_crop_splice_and_contrast():
+    x = noise(96)
+    assert kernels.crop(x, (8, 8, 80, 80)).shape == (224, 224, 3)
+    a, b = kernels.splice(x, 1), kernels.splice(x, 1)
+    assert (a == b).all() and a.shape == x.shape and (kernels.splice(x, 2) != a).any()
+    assert kernels.SCORERS["dummy"](np.zeros((4, 4, 3), np.uint8)) == 0 and 0 < kernels.SCORERS["dummy"](x) <= 1
+    assert 0 <= kernels.SCORERS["ela"](a) <= 1
+
+
 def test_codecs_say_that_they_are_missing():
     with pytest.raises(NotImplementedError):
         kernels.DEGRADATIONS["h264"](noise(8))

@@ -72,6 +72,27 @@ def test_windows_and_frames(spark):
     assert one(spark, se.frame_sample(F.lit(100))) == [0, 6, 13, 19, 26, 33, 39, 46, 52, 59, 66, 72, 79, 85, 92, 99]
 
 
+def test_lipsync(spark):
+    import numpy as np
+
+    def envelope(seed, n=250):
+        x = np.convolve(np.abs(np.random.default_rng(seed).normal(size=n)), np.ones(5) / 5, "same")
+        return x**2 + 0.01
+
+    a, b = envelope(0), envelope(1)
+    cases = {"synced": (a, a), "shifted": (np.roll(a, 2), a), "other": (b, a), "silent": (a, np.zeros(250)), "short": (a[:50], a[:50]), "still": (np.ones(250), a)}
+    rows = [(k, i, float(m[i]), float(s[i])) for k, (m, s) in cases.items() for i in range(len(m))]
+    df = spark.createDataFrame(rows, "media string, i int, mouth double, audio double")
+    got = {r.media: r for r in se.lipsync(df, ["media"], 25).collect()}
+    assert got["synced"].score < 0.3 and got["synced"].lag == 0 and got["synced"].ranges is None
+    assert got["shifted"].status == "in_sync" and abs(got["shifted"].lag) == 2
+    assert got["other"].status == "out_of_sync" and got["other"].ranges and all(r.s < r.e for r in got["other"].ranges)
+    assert {k: got[k].reason for k in ("silent", "short", "still")} == {
+        "silent": "little or no speech in the audio", "short": "clip is shorter than 3 seconds", "still": "no mouth movement could be measured",
+    }
+    assert all(got[k].status == "not_checked" and got[k].score == 0.5 for k in ("silent", "short", "still"))
+
+
 def test_split_keeps_sources_whole(spark):
     df = spark.range(400).select((F.col("id") / 2).cast("int").alias("source_id"), "id")
     split = ev.group_split(df)
