@@ -17,6 +17,7 @@ their context. Executors map the files; neither the driver nor a worker ever hol
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ SHARD_TOKENS = 2_000_000
 #: Tokens that a task combines before it hands their counts on.
 BUFFER = 2_000_000
 CHUNK = 1 << 21
+#: Shards that a worker holds open, of words and of pairs each: mapped ones, and ones read into memory.
+OPEN_MAPPED, OPEN_READ = 4096, 64
 
 
 def held_out(id_col: str, modulus: int = 7, remainder: int = 2) -> Column:
@@ -83,31 +86,53 @@ def _count_words(batches):
             yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 100_000].view(np.int64)), pa.array(c[i : i + 100_000])], ["h", "c"])
 
 
+class Shelf:
+    """Opened shards by number; beyond its bound the one that was used longest ago is closed."""
+
+    def __init__(self, root: str, load: Callable[[int], dict]):
+        self.load, self.most = load, OPEN_MAPPED if sharedfiles.mapped(root) else OPEN_READ
+        self.held: dict[int, dict] = {}
+
+    def __getitem__(self, s: int) -> dict:
+        found = self.held.pop(s, None) or self.load(s)
+        self.held[s] = found  # dictionaries keep the order of insertion
+        if len(self.held) > self.most:
+            del self.held[next(iter(self.held))]
+        return found
+
+
+def _runs(shards: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(shard, its places) of a sorted array of shard numbers: only shards that occur."""
+    if len(shards):
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(shards)) + 1, [len(shards)]])
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            yield int(shards[i]), slice(int(i), int(j))
+
+
 class Vocabulary:
-    """Level 1 of all shards: hash to id (rank over all shards) and id to count."""
+    """Level 1 of all shards: hash to id (rank over all shards) and id to count.
+
+    first: the id of each shard's first word, and the number of words; a shared file too.
+    """
 
-    def __init__(self, root: str, first: list[int]):
-        self.root, self.first = root, np.array(first, np.int64)
-        self.bits = int(math.log2(len(first) - 1)) if len(first) > 1 else 0
-        self._open: dict[int, dict] = {}
+    def __init__(self, root: str):
+        self.first = sharedfiles.read(root, "first")["id"]
+        self.bits = int(math.log2(len(self.first) - 1)) if len(self.first) > 1 else 0
+        self.shards = Shelf(root, lambda s: sharedfiles.read(root, f"words-{s}"))
+        self.levels = Shelf(root, lambda s: _level(root, s))
 
-    def shard(self, s: int) -> dict[str, np.ndarray]:
-        if s not in self._open:
-            self._open[s] = sharedfiles.read(self.root, f"words-{s}") if self.first[s + 1] > self.first[s] else {"h": np.zeros(0, U), "c": np.zeros(0, np.int64)}
-        return self._open[s]
+    def owner(self, ids: np.ndarray) -> np.ndarray:
+        """The shard of each id."""
+        return np.searchsorted(self.first, ids, "right") - 1
 
     def look_up(self, sorted_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of distinct sorted hashes; -1 and 0 for unknown words."""
         ids, counts = np.full(len(sorted_hashes), -1, np.int64), np.zeros(len(sorted_hashes), np.int64)
-        shards = len(self.first) - 1
-        edges = [0, *(np.searchsorted(sorted_hashes, U(s << (64 - self.bits))) for s in range(1, shards)), len(sorted_hashes)]
-        for s in range(shards):
-            part = slice(edges[s], edges[s + 1])
-            if part.start == part.stop:
-                continue
-            known = self.shard(s)
-            if not len(known["h"]):
+        of = (sorted_hashes >> U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(sorted_hashes), np.int64)
+        for s, part in _runs(of):
+            if self.first[s] == self.first[s + 1]:
                 continue
+            known = self.shards[s]
             at = np.searchsorted(known["h"], sorted_hashes[part])
             at[at == len(known["h"])] = 0
             hit = known["h"][at] == sorted_hashes[part]
@@ -117,17 +142,26 @@ class Vocabulary:
 
 
 _vocabularies: dict[str, Vocabulary] = {}
-_levels: dict[tuple[str, int], dict] = {}
 
 
-def _vocabulary(root: str, first: list[int]) -> Vocabulary:
+def _vocabulary(root: str) -> Vocabulary:
     if root not in _vocabularies:
         _vocabularies.clear()
-        _levels.clear()
-        _vocabularies[root] = Vocabulary(root, first)
+        _vocabularies[root] = Vocabulary(root)
     return _vocabularies[root]
 
 
+def _trie(root: str, s: int) -> dict[str, EliasFano]:
+    """Pointers and followers of a shard."""
+    a = sharedfiles.read(root, f"pairs-{s}")
+    part = lambda p: EliasFano({k: a[f"{p}_{k}"] for k in ("meta", "low", "high", "rank")})
+    return {"pointers": part("pointer"), "followers": part("follower")}
+
+
+def _level(root: str, s: int) -> dict:
+    return _trie(root, s) | sharedfiles.read(root, f"probs-{s}")
+
+
 def _pack(keys: np.ndarray) -> bytes:
     """Sorted distinct 64-bit keys: differences, byte planes, compressed."""
     planes = np.diff(keys, prepend=U(0)).view(np.uint8).reshape(-1, 8).T
@@ -163,23 +197,14 @@ def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class BigramModel:
-    """What a scorer needs to know besides the files: where they are, ids of the shards, totals, discounts."""
-
-    def __init__(self, root: str, first: list[int], tokens: int, discounts: tuple[float, float, float]):
-        self.root, self.first, self.tokens, self.discounts = root, first, tokens, discounts
-        self.words = first[-1]
+    """What a scorer needs to know besides the files: where they are, totals, discounts."""
 
-    def level(self, s: int) -> dict:
-        key = (self.root, s)
-        if key not in _levels:
-            a = sharedfiles.read(self.root, f"pairs-{s}")
-            part = lambda p: EliasFano({k: a[f"{p}_{k}"] for k in ("meta", "low", "high", "rank")})
-            _levels[key] = {"pointers": part("pointer"), "followers": part("follower")} | sharedfiles.read(self.root, f"probs-{s}")
-        return _levels[key]
+    def __init__(self, root: str, words: int, tokens: int, discounts: tuple[float, float, float]):
+        self.root, self.words, self.tokens, self.discounts = root, words, tokens, discounts
 
     def log_probs(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(counts, add-one unigram, model) of each token, the latter two as log10, in texts joined by END."""
-        vocabulary = _vocabulary(self.root, self.first)
+        vocabulary = _vocabulary(self.root)
         known, inverse = np.unique(tokens, return_inverse=True)
         ids, counts = vocabulary.look_up(known)
         unigram = np.log10((counts + 1) / (self.tokens + 1 * (self.words + 1)))
@@ -193,13 +218,9 @@ class BigramModel:
         key, back = np.unique(key, return_inverse=True)
         own, w = (key >> U(32)).astype(np.int64), key & U(0xFFFFFFFF)
         hit, gain = np.zeros(len(key), bool), np.zeros(len(key))
-        edges = np.searchsorted(own, self.first)
-        for s in range(len(self.first) - 1):
-            part = slice(edges[s], edges[s + 1])
-            if part.start == part.stop:
-                continue
-            level = self.level(s)
-            contexts, at = np.unique(own[part] - self.first[s], return_inverse=True)
+        for s, part in _runs(vocabulary.owner(own)):
+            level = vocabulary.levels[s]
+            contexts, at = np.unique(own[part] - vocabulary.first[s], return_inverse=True)
             first, stop, offset = _sections(level["pointers"], level["followers"], contexts)
             x = offset[at] + w[part]
             place = level["followers"].find(x)
@@ -236,29 +257,29 @@ def train(docs: DataFrame, text_col: str = "text", scratch: Scratch | None = Non
     first = [0]
     for s in range(1 << bits):
         first.append(first[-1] + sizes.get(s, 0))
+    total_words = first[-1]
+    sharedfiles.write(root, "first", {"id": np.array(first, np.int64)})
 
     def count_pairs(batches):
-        vocabulary = _vocabulary(root, first)
+        vocabulary = _vocabulary(root)
         for found in _buffers(batches):
             known, inverse = np.unique(found, return_inverse=True)
             ids = vocabulary.look_up(known)[0].astype(U)
             word = ids[inverse]
             end = U(vocabulary.look_up(np.array([END], U))[0][0])
             key, c = np.unique(np.concatenate([[end], word[:-1]]) << U(32) | word, return_counts=True)
-            edges = np.searchsorted(key, np.array(first, U) << U(32))
-            for s in range(len(first) - 1):
-                part = slice(edges[s], edges[s + 1])
-                n = part.stop - part.start
-                if n:
-                    few = np.minimum(c[part], 255).astype(np.uint8)
-                    many = np.flatnonzero(c[part] >= 255)
-                    raw = [_pack(key[part]), pa.compress(few.tobytes(), codec="zstd", asbytes=True), np.column_stack([many, c[part][many]]).astype(np.int64).tobytes()]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([s], pa.int32()), pa.array([n], pa.int64()), *(pa.array([r], pa.binary()) for r in raw)], ["s", "n", "keys", "few", "many"]
-                    )
+            for s, part in _runs(vocabulary.owner((key >> U(32)).astype(np.int64))):
+                few = np.minimum(c[part], 255).astype(np.uint8)
+                many = np.flatnonzero(c[part] >= 255)
+                raw = [_pack(key[part]), pa.compress(few.tobytes(), codec="zstd", asbytes=True), np.column_stack([many, c[part][many]]).astype(np.int64).tobytes()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([s], pa.int32()), pa.array([part.stop - part.start], pa.int64()), *(pa.array([r], pa.binary()) for r in raw)],
+                    ["s", "n", "keys", "few", "many"],
+                )
 
     def write_pairs(table: pa.Table) -> pa.Table:
         s = table["s"][0].as_py()
+        first = _vocabulary(root).first
         keys, counts = [], []
         for n, k, few, many in zip(*(table[c].to_pylist() for c in ("n", "keys", "few", "many")), strict=True):
             keys.append(_unpack(k, n))
@@ -296,14 +317,12 @@ def train(docs: DataFrame, text_col: str = "text", scratch: Scratch | None = Non
     y = n1 / max(1.0, n1 + 2 * n2)
     bound = lambda k, d: float(np.clip(d, 0.05 * k, 0.99 * k))
     discounts = (bound(1, 1 - 2 * y * n2 / max(1.0, n1)), bound(2, 2 - 3 * y * n3 / max(1.0, n2)), bound(3, 3 - 4 * y * n4 / max(1.0, n3)))
-    model = BigramModel(root, first, tokens, discounts)
+    model = BigramModel(root, total_words, tokens, discounts)
 
     def write_probs(batches):
         for batch in batches:
             for s in batch.column(0).to_pylist():
-                a = sharedfiles.read(root, f"pairs-{s}")
-                part = lambda p: EliasFano({k: a[f"{p}_{k}"] for k in ("meta", "low", "high", "rank")})  # noqa: B023, E731
-                pointers, followers = part("pointer"), part("follower")
+                pointers, followers = _trie(root, s).values()
                 count = sharedfiles.read(root, f"counts-{s}")["c"].astype(np.int64)
                 start = pointers.get(np.arange(pointers.n)).astype(np.int64)
                 context = np.repeat(np.arange(len(start) - 1), np.diff(start))
@@ -314,13 +333,13 @@ def train(docs: DataFrame, text_col: str = "text", scratch: Scratch | None = Non
                 off = np.array(discounts)[np.minimum(count, 3) - 1]
                 weight = np.bincount(context, off, len(start) - 1) / np.maximum(total, 1)
                 weight[total == 0] = 1.0
-                vocabulary = _vocabulary(root, first)
-                owner = np.searchsorted(np.array(first), follower, "right") - 1
+                vocabulary = _vocabulary(root)
+                owner = vocabulary.owner(follower)
                 word_count = np.zeros(len(follower), np.int64)
                 for o in np.unique(owner):
                     mine = owner == o
-                    word_count[mine] = vocabulary.shard(int(o))["c"][follower[mine] - first[o]]
-                unigram = (word_count + 1) / (tokens + first[-1] + 1)
+                    word_count[mine] = vocabulary.shards[int(o)]["c"][follower[mine] - vocabulary.first[o]]
+                unigram = (word_count + 1) / (tokens + total_words + 1)
                 prob, prob_book = _quantised(np.log10((count - off) / total[context] + weight[context] * unigram))
                 back, back_book = _quantised(np.log10(weight))
                 sharedfiles.write(root, f"probs-{s}", {"prob": prob, "prob_book": prob_book, "back": back, "back_book": back_book})

@@ -21,6 +21,11 @@ def _local(root: str) -> str | None:
     return parts.path if parts.scheme in ("", "file") else None
 
 
+def mapped(root: str) -> bool:
+    """Whether files below root are mapped when they are read."""
+    return _local(root) is not None
+
+
 def write(root: str, name: str, arrays: dict[str, np.ndarray]) -> None:
     at, spec, body = 0, {}, []
     for key, a in arrays.items():
