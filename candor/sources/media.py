@@ -41,9 +41,18 @@ _HEADER = T.StructType(
 )
 
 
+def metadata(content: Column) -> Column:
+    """struct of headers.Header for the bytes of a file; all null or empty for what is no known image.
+
+    Only bytes that begin like an image go to Python; sound and video stay where they are.
+    """
+    start = F.hex(F.substring(content, 1, 4))
+    webp = (start == "52494646") & (F.hex(F.substring(content, 9, 4)) == "57454250")
+    return _metadata(F.when(start.startswith("FFD8") | start.startswith("424D") | (start == "89504E47") | webp, content))
+
+
 @F.arrow_udf(_HEADER)
-def metadata(content: pa.Array) -> pa.Array:
-    """struct of headers.Header for the bytes of a file; all null or empty for what is no known image."""
+def _metadata(content: pa.Array) -> pa.Array:
     kind = pa.struct([("format", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("has_exif", pa.bool_()),
                       *((n, pa.string()) for n in ("make", "model", "software", "text")), ("mean_luma", pa.float64())])
     return pa.array([headers.parse(raw or b"")._asdict() for raw in content.to_pylist()], kind)
