@@ -13,7 +13,9 @@ FINDINGS = {
         "Frequency spectrum looks like that of camera-captured images.",
     ),
 }
-# Caveats and lip-sync labels.
+# Caveats, phrases of the summary and lip-sync labels.
+CLEAN = "The image content shows no sign of AI generation or face manipulation."
+STRONGEST = "Strongest evidence from the image content"
 NOT_TRAINED = "Pixel detectors are not trained yet, so the verdict cannot rest on the image content."
 NO_FACE = "No face was detected; the center of the image was analysed instead."
 LABELS = {"in_sync": "IN SYNC", "out_of_sync": "OUT OF SYNC", "not_checked": "NOT CHECKED"}
@@ -53,14 +55,11 @@ def summary(p: Column, verdict: Column, reason: Column, findings: Column, top: C
     declared: the metadata finding where the file declares itself synthetic, else null; level: confidence or null."""
     sure = percent(1 - p)
     fake = F.concat(F.lit("FAKE (authenticity "), sure, F.lit("). "))
-    real = F.concat(
-        F.lit("REAL (authenticity "), sure,
-        F.lit("). The image content shows no sign of AI generation or face manipulation. "), F.array_join(findings, " "),
-    )
+    real = F.concat(F.lit("REAL (authenticity "), sure, F.lit(f"). {CLEAN} "), F.array_join(findings, " "))
     body = (
         F.when(declared.isNotNull(), F.concat(fake, declared))
         .when(verdict == "likely_real", real)
-        .otherwise(F.concat(fake, F.lit("Strongest evidence from the image content ("), top["name"], F.lit("): "), top["finding"]))
+        .otherwise(F.concat(fake, F.lit(f"{STRONGEST} ("), top["name"], F.lit("): "), top["finding"]))
     )
     why = F.when(reason != "", F.concat(F.lit(" ("), reason, F.lit(")."))).otherwise(".")
     tail = F.when(level.isNotNull() & (level != "none"), F.concat(F.lit(" Confidence: "), level, why)).otherwise("")

@@ -67,8 +67,8 @@ def dec10_findings(spark, sf):
 
 @query(f"""WITH {FRAMES}, s AS (SELECT video, frame, {_NAMED} AS name, round(score, 9) AS score, {_TEXT} AS finding FROM signals),
 g AS (SELECT video, frame, round(avg(score), 9) AS p, string_agg(finding, ' ' ORDER BY name) AS every, arg_max(name, {{'s': score, 'n': name}}) AS top, arg_max(finding, {{'s': score, 'n': name}}) AS told FROM s GROUP BY ALL)
-SELECT video, frame, CASE WHEN p >= 0.5 THEN 'FAKE (authenticity ' || round_even((1 - p) * 100, 0)::INT || '%). Strongest evidence from the image content (' || top || '): ' || told
-  ELSE 'REAL (authenticity ' || round_even((1 - p) * 100, 0)::INT || '%). The image content shows no sign of AI generation or face manipulation. ' || every END || ' Confidence: '
+SELECT video, frame, CASE WHEN p >= 0.5 THEN 'FAKE (authenticity ' || round_even((1 - p) * 100, 0)::INT || '%). {rp.STRONGEST} (' || top || '): ' || told
+  ELSE 'REAL (authenticity ' || round_even((1 - p) * 100, 0)::INT || '%). {rp.CLEAN} ' || every END || ' Confidence: '
   || CASE WHEN abs(p - 0.5) < 0.12 THEN 'low (score is too close to 50%).' ELSE 'medium.' END AS summary FROM g""")
 def str9_summary(spark, sf):
     s = _found(spark, sf).groupBy("video", "frame").agg(
