@@ -6,8 +6,10 @@ keeps the shingle that arrived first. Two documents agree in a slot with the pro
 similarity of their weights. A shingle stops as soon as its next arrival is later than all slots
 need, so most run once or twice. All randomness is a hash of the shingle, so reruns agree.
 
-Signatures are cut into bands; documents that share a band are candidates. A candidate pair is
-verified on the shingles themselves and linked when its probability Jaccard or its plain Jaccard
+A document with a repeated shingle has a second signature, of the same shingles with all weights 1,
+which agrees with that of another document at their plain Jaccard similarity. Without a repeated
+shingle the two are one. Signatures are cut into bands; documents that share a band of either are
+candidates. A candidate pair is verified on the shingles themselves and linked when its probability Jaccard or its plain Jaccard
 similarity is ``threshold`` or more. Classes are the connected components of the links.
 
 Large groups are not expanded into pairs. Texts of the same shingles and counts are one
@@ -109,18 +111,23 @@ def _kernels(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield (batch.column(0).slice(lo, hi - lo), hi - lo, *tk.distinct(doc, shingle))
 
 
-def _lists(values: np.ndarray, width: int, valid: np.ndarray) -> pa.Array:
-    rows = np.repeat(valid, width)
-    offsets = np.concatenate([[0], np.cumsum(valid * width)]).astype(np.int32)
-    return pa.ListArray.from_arrays(offsets, pa.array(values.ravel()[rows].view(np.int64)))
+def _lists(values: np.ndarray, width: np.ndarray) -> pa.Array:
+    """A list for each row of values, of as many of its first values as width says."""
+    offsets = np.concatenate([[0], np.cumsum(width)]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(values[np.arange(values.shape[1]) < width[:, None]].view(np.int64)))
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for ids, n, doc, shingle, count in _kernels(batch):
             signature = signatures(doc, shingle, count.astype(np.float64), n)
-            keys = band_keys(signature)
-            short = np.ascontiguousarray(tk.mix(signature).astype(np.uint8))
+            repeats = np.zeros(n, bool)
+            repeats[doc[count > 1]] = True
+            of = repeats[doc]
+            plain = signature.copy()
+            plain[repeats] = signatures((np.cumsum(repeats) - 1)[doc[of]], shingle[of], np.ones(of.sum()), int(repeats.sum()))
+            keys = np.concatenate([band_keys(signature), band_keys(plain)], axis=1)
+            short = [np.ascontiguousarray(tk.mix(x).astype(np.uint8)) for x in (signature, plain)]
             sums = []
             for salt in (0x1234567, 0x89ABCDEF):
                 part = np.concatenate([[U(0)], np.cumsum(tk.mix(shingle + count.astype(U) * U(salt << 20 | 1)))])
@@ -128,7 +135,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sums.append(part[edge[1:]] - part[edge[:-1]])
             filled = np.isin(np.arange(n), doc)
             yield pa.RecordBatch.from_arrays(
-                [ids, *(pa.array(s.view(np.int64)) for s in sums), _lists(keys, BANDS, filled), pa.array([s.tobytes() for s in short], pa.binary())],
+                [ids, *(pa.array(s.view(np.int64)) for s in sums), _lists(keys, filled * (1 + repeats) * BANDS), pa.array([a.tobytes() + b.tobytes() * bool(r) for a, b, r in zip(*short, repeats, strict=True)], pa.binary())],
                 ["id", "d1", "d2", "bands", "sig"],
             )
 
@@ -169,8 +176,9 @@ def _blockwise(placed: DataFrame, mixed: DataFrame, signed: DataFrame, sets: Dat
     """Links between documents that share a bucket but not yet a root, found without listing the pairs.
 
     Of two such documents at least one is outside the bucket's commonest root. Those outside, in
-    blocks of about BLOCK, meet all members, in blocks too. A pair is looked at in the first band that
-    it shares; where enough slots agree, it is verified on its shingles.
+    blocks of about BLOCK, meet all members, in blocks too. A pair is looked at in the first band,
+    and of that band in the smallest key, that it shares; where enough slots of either signature agree,
+    it is verified on its shingles.
     """
     cells = mixed.select("key", F.col("top.root").alias("top"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nj"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("ni"))
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
@@ -188,9 +196,10 @@ def _blockwise(placed: DataFrame, mixed: DataFrame, signed: DataFrame, sets: Dat
         key = np.int64(table["key"][0].as_py()).view(U)
         ids, roots = table["id"].to_pylist(), table["root"].to_pylist()
         outside = np.asarray(table["outside"])
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, SLOTS)
-        bands = np.stack([np.asarray(x, np.int64) for x in table["bands"].to_pylist()]).view(U)
-        at = int(np.flatnonzero(bands[0] == key)[0])
+        # a document without a repeated shingle has one signature for both
+        sig = np.frombuffer(b"".join((x * 2)[: 2 * SLOTS] for x in table["sig"].to_pylist()), np.uint8).reshape(-1, 2, SLOTS)
+        bands = np.stack([np.asarray((x * 2)[: 2 * BANDS], np.int64) for x in table["bands"].to_pylist()]).view(U).reshape(-1, 2, BANDS)
+        at = int(np.flatnonzero(bands[0] == key)[0]) % BANDS
         h, c = table["h"], table["c"]
         set_of = lambda k: _set_of(h[k].as_py(), c[k].as_py())
         parent: dict = {}
@@ -203,9 +212,12 @@ def _blockwise(placed: DataFrame, mixed: DataFrame, signed: DataFrame, sets: Dat
         right = np.flatnonzero(~side)
         a, b = [], []
         for k in np.flatnonzero(side):
-            near = right[(sig[right] == sig[k]).sum(1) >= enough]
-            near = near[~(bands[near, :at] == bands[k, :at]).any(1)]
-            agree = (sig[near] == sig[k]).sum(1)
+            agree = (sig[right] == sig[k]).sum(2).max(1)
+            near, agree = right[agree >= enough], agree[agree >= enough]
+            same = bands[near][:, :, None, : at + 1] == bands[k][:, : at + 1]
+            same[..., at] &= bands[k][:, at] < key
+            first = ~same.any((1, 2, 3))
+            near, agree = near[first], agree[first]
             mine = None
             for m in near[np.argsort(-agree, kind="stable")]:
                 if (outside[m] and ids[m] > ids[k]) or top(roots[m]) == top(roots[k]):
@@ -245,7 +257,7 @@ def near_duplicates(
     copies = scratch.save(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")), "copies")
     # only representatives go into buckets
     single = signed.join(copies.select(F.col("a").alias("id")), "id", "left_anti")
-    buckets = single.select("id", F.explode("bands").alias("key"))
+    buckets = single.select("id", F.explode(F.array_distinct("bands")).alias("key"))
     shared = scratch.save(
         buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi"), "shared"
     )

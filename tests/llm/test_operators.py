@@ -207,6 +207,30 @@ def test_blockwise_comparison_finds_what_leaders_miss(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()} == want
 
 
+def test_near_duplicates_of_texts_that_repeat_a_passage_differently(spark):
+    texts = []
+    for g in range(8):
+        words = [f"g{g}w{i}" for i in range(100)]
+        texts += [" ".join(words + words[:10] * times) for times in (0, 2, 20, 60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = brute_classes(list(range(len(texts))), shingle_sets(texts))
+    assert len(set(want.values())) == 8
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()} == want
+    assert minhash.kept_documents(df).count() == 8
+
+
+def test_blockwise_comparison_sees_both_signatures(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    words = [f"q{i}" for i in range(80)]
+    texts = [" ".join(words[:k] + [f"z{k}"] + words[k:] + [f"y{j}" for j in range(k % 7 * 2)] + words[:8] * (k % 4 * 12)) for k in range(0, 78, 2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = brute_classes(list(range(len(texts))), shingle_sets(texts))
+    seen = []
+    block = minhash._blockwise
+    monkeypatch.setattr(minhash, "_blockwise", lambda *a: seen.append(1) or block(*a))
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()} == want and seen
+
+
 def test_near_duplicates_of_odd_rows(odd, spark):
     got = [tuple(r) for r in minhash.near_duplicates(odd).collect()]
     assert sorted(got, key=repr) == sorted(
