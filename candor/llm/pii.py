@@ -234,8 +234,18 @@ def _letter_digits(tape: Tape) -> bool:
     return True
 
 
+def _beyond(starts: list[int], ends: list[int], start: int, end: int) -> list[tuple[int, int]]:
+    """The parts of [start, end) outside of the given ordered, disjoint spans."""
+    out = []
+    for k in range(bisect.bisect_right(ends, start), bisect.bisect_left(starts, end)):
+        if starts[k] > start:
+            out.append((start, starts[k]))
+        start = ends[k]
+    return [*out, (start, end)] if start < end else out
+
+
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Spans as written, and all spans: those and the disguised ones that overlap none of their kind."""
+    """Spans as written, and all spans: those and the disguised ones that reach beyond those of their kind."""
     base = plain_spans(text)
     tape = Tape(text)
     changed = [step(tape) for step in (_characters, _spelled_digits, _addresses, _letter_digits)]
@@ -245,9 +255,7 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
     more = []
     for i, kind, j in plain_spans(tape.text):
         start, end = tape.start[i], tape.end[j - 1]
-        starts, ends = taken[kind]
-        before = bisect.bisect_left(starts, end)  # plain spans of the kind that begin before this one ends
-        if not before or ends[before - 1] <= start:
+        if _beyond(*taken[kind], start, end):
             more.append((start, kind, end))
     return base, sorted(base + more)
 

@@ -118,6 +118,22 @@ def test_pii_disguises(text, found):
     assert not base and [text[i:j] for i, _, j in every] == [found]
 
 
+@pytest.mark.parametrize(
+    ("text", "out"),
+    [
+        ("to jоhn@example.com now", "to [EMAIL] now"),
+        ("to john@example.cоm now", "to [EMAIL] now"),
+        ("to john@example.c\u200bom now", "to [EMAIL] now"),
+        ("call +1415555267１ now", "call [PHONE] now"),
+        ("call +49 170 1234567８ now", "call [PHONE] now"),
+        ("to jоhn@example.com, ann@example.org", "to [EMAIL], [EMAIL]"),
+    ],
+)
+def test_pii_disguised_ends_of_plain_fragments(text, out):
+    base, every = pii.spans(text)
+    assert set(base) <= set(every) and base == pii.plain_spans(text) and pii.redact_text(text) == out
+
+
 @pytest.mark.parametrize("text", ["look at the site.com today", "he was at home", "one two three four five", "year 2024 at 10.30", "at noon. dot the i"])
 def test_pii_leaves_clean_texts(text):
     assert pii.spans(text) == ([], []) and pii.redact_text(text) == text
