@@ -105,9 +105,10 @@ _NAMES = (
 _VALUE = {name: str(i) for i, names in enumerate(_NAMES) for name in names.split()}
 _NAME = "(?:" + "|".join(sorted(_VALUE, key=len, reverse=True)) + ")"
 _GAP = r"[ \t,./_-]{1,3}"
-#: Four spelled digits at least, with plain digits among them, are a spelled number.
-_SPELLED = re.compile(rf"(?<!\w)(?:(?:plus|más|mas) )?(?:{_NAME}|[0-9]{{1,4}})(?:{_GAP}(?:{_NAME}|dot|[0-9]{{1,4}}))*{_GAP}{_NAME}(?!\w)", re.IGNORECASE)
-_SPELLED_HINT = re.compile(rf"(?<!\w){_NAME}{_GAP}(?:dot )?(?:{_NAME}|[0-9])", re.IGNORECASE)
+#: Digits' names and plain digits in a row, from which what follows the last name is cut off.
+_SPELLED = re.compile(rf"(?<!\w)(?:(?:plus|más|mas) )?(?:{_NAME}(?!\w)|[0-9]{{1,4}})(?:{_GAP}(?:{_NAME}(?!\w)|dot(?!\w)|[0-9]{{1,4}}))*", re.IGNORECASE)
+_BLANK = re.compile(r"\s")
+_NAME_WORD = re.compile(rf"(?<!\w){_NAME}(?!\w)", re.IGNORECASE)
 _PIECE = re.compile(rf"({_NAME})|(dot)|(plus|más|mas)|([0-9]+)", re.IGNORECASE)
 _AT_NAME = r"(?:at|arroba|arobase)"
 _DOT_NAME = r"(?:dot|punto|point|punkt)"
@@ -127,6 +128,9 @@ _ADDRESS = re.compile(
 )
 _ADDRESS_HINT = re.compile(rf"{_OPEN}[ \t]?(?:{_AT_NAME}|@|{_DOT_NAME}|\.)[ \t]?{_SHUT}|[ \t]{_DOT_NAME}[ \t]", re.IGNORECASE)
 _DOTTED = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\.|{_DOT_ANY})[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
+#: What makes fewer than four names a number: a digit, a plus or a dot in words or brackets beside them.
+_LEFT = re.compile(rf"(?:[0-9+]|{_DOT_NAME}|{_OPEN}[ \t]?\.)\W{{0,4}}$", re.IGNORECASE)
+_RIGHT = re.compile(rf"\W{{0,4}}(?:[0-9]|{_DOT_NAME}(?!\w))", re.IGNORECASE)
 _AT = re.compile(rf"{_AT_BOXED}|{_AT_BARE}", re.IGNORECASE)
 _DOT = re.compile(_DOT_ANY, re.IGNORECASE)
 _LETTER_DIGIT = re.compile(r"(?<=[0-9])[OolI](?=[0-9OolI])|(?<=[0-9 .-])[OolI](?=[0-9])")
@@ -190,26 +194,35 @@ def _characters(tape: Tape) -> bool:
     return hit
 
 
-def _spelled_digits(tape: Tape) -> bool:
-    if not _SPELLED_HINT.search(tape.text):
-        return False
-    edits = []
-    for m in _SPELLED.finditer(tape.text):
+def _spelled_digits(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """Edits that write spelled digits as digits without gaps, and the same with single dots kept.
+
+    Four names in a row are a number, fewer are where digits, a plus or dots stand beside them.
+    """
+    joined, dotted = [], []
+    for m in _SPELLED.finditer(text):
         pieces = list(_PIECE.finditer(m[0]))
-        names = sum(p[1] is not None for p in pieces)
-        if names < 4:
+        while pieces and pieces[-1][1] is None:
+            pieces.pop()
+        if not pieces:
             continue
-        at = m.start()
+        start, end = m.start(), m.start() + pieces[-1].end()
+        if sum(p[1] is not None for p in pieces) < 4 and all(p[1] for p in pieces):
+            if not (_LEFT.search(text[max(0, start - 12) : start]) or _RIGHT.match(text, end)):
+                continue
+        at = start
         for p in pieces:
             value = _VALUE[p[1].lower()] if p[1] else "." if p[2] else "+" if p[3] else p[4]
-            i, j = m.start() + p.start(), m.start() + p.end()
+            i, j = start + p.start(), start + p.end()
             if i > at:
-                edits.append((at, i, ""))
-            if value != tape.text[i:j]:
-                edits.append((i, j, value))
+                joined.append((at, i, ""))
+                if text[at:i] != ".":
+                    dotted.append((at, i, ""))
+            if value != text[i:j]:
+                joined.append((i, j, value))
+                dotted.append((i, j, value))
             at = j
-    tape.rewrite(edits)
-    return bool(edits)
+    return joined, dotted
 
 
 def _addresses(tape: Tape) -> bool:
@@ -244,20 +257,40 @@ def _beyond(starts: list[int], ends: list[int], start: int, end: int) -> list[tu
     return [*out, (start, end)] if start < end else out
 
 
+def _merged(parts: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of spans, ordered and disjoint."""
+    starts, ends = [], []
+    for i, j in sorted(parts):
+        if ends and i < ends[-1]:
+            ends[-1] = max(ends[-1], j)
+        else:
+            starts.append(i)
+            ends.append(j)
+    return starts, ends
+
+
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Spans as written, and all spans: those and the disguised ones that reach beyond those of their kind."""
     base = plain_spans(text)
-    tape = Tape(text)
-    changed = [step(tape) for step in (_characters, _spelled_digits, _addresses, _letter_digits)]
-    if not any(changed):
-        return base, base
-    taken = [([i for i, k, _ in base if k == kind], [j for _, k, j in base if k == kind]) for kind in range(len(KINDS))]
-    more = []
-    for i, kind, j in plain_spans(tape.text):
-        start, end = tape.start[i], tape.end[j - 1]
-        if _beyond(*taken[kind], start, end):
-            more.append((start, kind, end))
-    return base, sorted(base + more)
+    every = list(base)
+    plain = Tape(text)
+    changed = _characters(plain)
+    ways = [[], *_spelled_digits(plain.text)]
+    ways = [way for k, way in enumerate(ways) if way not in ways[:k]]
+    for way in ways:
+        tape = Tape(plain.text)
+        tape.start, tape.end = plain.start, plain.end
+        tape.rewrite(way)
+        if not (any([step(tape) for step in (_addresses, _letter_digits)]) or changed or way):
+            continue
+        known = [_merged([(i, j) for i, k, j in every if k == kind]) for kind in range(len(KINDS))]
+        for i, kind, j in plain_spans(tape.text):
+            start, end = tape.start[i], tape.end[j - 1]
+            rest = _beyond(*known[kind], start, end)
+            # a digit's name next to a whole identifier is mostly a word, as in "10.0.0.1 one day"
+            if rest and (not way or rest == [(start, end)] or (kind and any(len(_NAME_WORD.findall(text, *r)) > 1 or not _BLANK.search(text, *r) for r in rest))):
+                every.append((start, kind, end))
+    return base, sorted(every)
 
 
 def _written(found: list[tuple[int, int, int]]) -> str:

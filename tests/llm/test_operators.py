@@ -118,6 +118,28 @@ def test_pii_disguises(text, found):
     assert not base and [text[i:j] for i, _, j in every] == [found]
 
 
+@pytest.mark.parametrize(
+    ("text", "out"),
+    [
+        ("call +1 415 five five five 2671 now", "call [PHONE] now"),
+        ("call +1 415 555 26 one, please", "call [PHONE], please"),
+        ("call +1 415-555-267-one", "call [PHONE]"),
+        ("host 192.168.one.20 is up", "host [IP] is up"),
+        ("host one.168.one.20 is up", "host [IP] is up"),
+        ("host 192 dot 168 dot one dot 20 is up", "host [IP] is up"),
+        ("host 192[.]168[.]one[.]20 is up", "host [IP] is up"),
+        ("card 4111 1111 1111 11 one one ok", "card [CARD] ok"),
+        ("call +49 170 1234567 eight nine", "call [PHONE]"),
+        ("host 10.0.0.1 one day", "host [IP] one day"),
+        ("call +1 415 555 2671 one day", "call [PHONE] one day"),
+        ("one two three four@example.com", "one two three [EMAIL]"),
+        ("in 2024 one of two, 3 or four", "in 2024 one of two, 3 or four"),
+    ],
+)
+def test_pii_few_spelled_digits(text, out):
+    assert pii.redact_text(text) == out
+
+
 @pytest.mark.parametrize(
     ("text", "out"),
     [
