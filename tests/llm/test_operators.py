@@ -333,6 +333,20 @@ def test_search_ranks_exactly_and_recalls(spark, monkeypatch):
     assert hits >= 0.9 * len({r.query_id for r in found}) * 20
 
 
+def test_search_recalls_with_the_registered_share(spark):
+    big = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").select("vec_id", "embedding")
+    rows = big.toPandas()
+    assert len(rows) > annsearch.LEAST and annsearch.SHARE == 1.0
+    asked = rows[rows.vec_id % 100 == 0]
+    found = annsearch.search(big, big.filter("vec_id % 100 = 0")).toPandas().groupby("query_id").vec_id.agg(set)
+    x, ids = np.stack(rows.embedding).astype(np.float64), rows.vec_id.to_numpy()
+    hits = 0
+    for q, v in zip(asked.vec_id, asked.embedding, strict=True):
+        score = np.where(ids == q, -np.inf, x @ np.asarray(v, np.float64))
+        hits += len(found[q] & set(ids[np.argsort(-score)[:20]]))
+    assert len(asked) > 50 and hits >= 0.9 * 20 * len(asked)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, top in ((0, 5), (1, 0), (1, 10**12), (1000, 50), (5000, 10**6), (20000, 10**11), (300, 2**45)):
