@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import math
 import wave
 
 import numpy as np
@@ -17,6 +18,8 @@ from candor.functions.scores import media_kind
 
 #: Bytes at a file's head that are searched for provenance marks.
 HEAD = 2_000_000
+#: Samples a second of pcm().
+RATE = 16_000
 
 
 def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -103,14 +106,26 @@ def image_features(df: DataFrame, degradation: str = "clean") -> DataFrame:
     return df.select("path", "height", "width", "channels", "bgr").mapInArrow(compute, "path string, spectrum array<double>, ela double")
 
 
+def resampled(x: np.ndarray, rate: int) -> np.ndarray:
+    """x at RATE, cut off at the lower of the two Nyquist frequencies."""
+    if rate == RATE or not len(x):
+        return x
+    step = rate // math.gcd(rate, RATE)  # so many samples are a whole number of samples at RATE
+    padded = -(-len(x) // step) * step
+    m = padded * RATE // rate
+    return np.fft.irfft(np.fft.rfft(x, padded), m)[: -(-len(x) * RATE // rate)] * (m / padded)
+
+
 @F.arrow_udf(T.ArrayType(T.FloatType()))
 def pcm(content: pa.Array) -> pa.Array:
-    """Mono samples in -1..1 of 16-bit WAV bytes; null for anything else."""
+    """Mono samples at RATE of 16-bit WAV bytes, -1..1 but for overshoot; null for anything else, and for rates outside 1 kHz to 1 MHz."""
     out = []
     for raw in content.to_pylist():
         try:
             with wave.open(io.BytesIO(raw or b"")) as w:
-                x = np.frombuffer(w.readframes(w.getnframes()), np.int16).reshape(-1, w.getnchannels()).mean(1) / 32768 if w.getsampwidth() == 2 else None
+                good = w.getsampwidth() == 2 and 1_000 <= w.getframerate() <= 1_000_000
+                x = np.frombuffer(w.readframes(w.getnframes()), np.int16).reshape(-1, w.getnchannels()).mean(1) / 32768 if good else None
+                x = x if x is None else resampled(x, w.getframerate())
         except (wave.Error, EOFError, ValueError):
             x = None
         out.append(x if x is None else x.astype(np.float32))

@@ -67,6 +67,17 @@ def test_files_and_sound(spark, tmp_path):
     assert rows["a"].x == [0.0, 0.25] and rows["b"].x is None and rows["b"].p.c2pa and not rows["a"].p.c2pa
 
 
+@pytest.mark.parametrize("rate", [8000, 44100, 48000])
+def test_sound_is_resampled(spark, rate):
+    tone = lambda r: 0.5 * np.sin(2 * np.pi * 440 * np.arange(r) / r)
+    buf = io.BytesIO()
+    with wave.open(buf, "wb") as w:
+        w.setnchannels(1), w.setsampwidth(2), w.setframerate(rate)
+        w.writeframes((tone(rate) * 32767).astype(np.int16).tobytes())
+    x = spark.createDataFrame([(bytearray(buf.getvalue()),)], "content binary").select(media.pcm("content").alias("x")).first().x
+    assert len(x) == 16000 and np.abs(np.array(x) - tone(16000)).max() < 1e-3
+
+
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
 def test_queries_without_sql_run(spark, name):
     rows = queries.QUERIES[name](spark, SF).collect()
