@@ -1,6 +1,6 @@
 """Intermediate tables in the folder that driver and executors share.
 
-``spark.checkpoint.dir`` names that folder; only where the session leaves it unset (as in unit
+``spark.checkpoint.dir`` names that folder; only where a local session leaves it unset (as in unit
 tests) a fresh temporary folder is made and set. A written table cuts lineage and survives the
 loss of executors, and reading it back restores column pruning and size statistics.
 """
@@ -14,11 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The shared folder, qualified by the file system that Spark resolves it against.
+
+    On a cluster it has to be set: a folder of the driver's own machine would not be shared.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="candor-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 class Scratch:
@@ -43,8 +50,3 @@ class Scratch:
         """Deletes a table that nothing will read again."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._candor_path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def shuffle_width(spark: SparkSession, bytes_in: float, target: float = 32e6) -> int:
-    """Partitions for bytes_in, and the session's own number at least."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(bytes_in / target) + 1)
