@@ -17,15 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candor.llm import linear
+from candor.llm import linear, lookups
 from candor.llm import textkernel as tk
 from candor.llm.scratch import Scratch
 from candor.llm.workers import bound_batches, release, trimmed
 
 #: Labelled documents that the classifier is fitted on, at most; which ones is a hash of their ids.
 TRAINING_ROWS = 20_000
-#: Rows of site shares that are broadcast; beyond, the join is shuffled.
-BROADCAST_SITES = 100_000
 FEATURES = ("upper", "symbols", "pipes", "digits", "repeats", "near_repeats", "word_length", "lines", "words", "non_ascii")
 
 _SYMBOL = np.zeros(256, bool)
@@ -82,10 +80,14 @@ def features_of(texts: pa.Array) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, columns: list[str], bound: int, id_col: str, text_col: str) -> DataFrame:
-    """(text, *columns) of at most ``bound`` labelled documents, the same ones on every run."""
-    chosen = labels.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), *columns)
-    chosen = chosen.orderBy(F.xxhash64("__id"), "__id", *columns).limit(bound)
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
+    """(text, *columns) of at most ``bound`` labelled documents, the same ones on every run.
+
+    An id is one document however often it occurs: its smallest labels and its smallest text count.
+    """
+    chosen = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(F.struct(*columns)).alias("__told"))
+    chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(bound).select("__id", "__told.*")
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
+    return rows.groupBy("__id", *columns).agg(F.min("__text").alias("__text")).select("__text", *columns)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = TRAINING_ROWS) -> tuple[np.ndarray, float]:
@@ -140,34 +142,28 @@ def site_shares(scratch: Scratch, scored: DataFrame, prior: float) -> tuple[Data
     between = spread / n - noise * (count_hosts - 1) / n
     strength = float(np.clip(noise / max(between, 1e-9), 1, 1e4))
     shrunk = (F.lit(strength * mu) + F.col("hs")) / (F.lit(strength) + F.col("hn"))
-    hosts = hosts.withColumnRenamed("host", "__host")
-    joined = paths.join(hosts, F.col("host").eqNullSafe(F.col("__host")))
+    hosts = scratch.save(hosts.withColumnRenamed("host", "__host"), "hosts")
+    joined = lookups.attach(paths, hosts, [(F.col("host"), "__host")], F.xxhash64("path"))
     (inner,) = joined.agg(F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - F.col("hs") / F.col("hn"), 2))).first()
     within = inner / n - noise * (count_paths - count_hosts) / n
     path_strength = float(np.clip(noise / max(within, 1e-9), 1, 1e4))
     return joined.select("host", "path", "n", "s", shrunk.alias("above"), F.lit(path_strength).alias("strength")), mu
 
 
-def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host_col: str, path_cols: tuple[str, ...]) -> DataFrame:
-    """docs with __z, __site, __posterior."""
-    bound_batches(docs.sparkSession)
+def _judged(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str, host_col: str, path_cols: tuple[str, ...], kept: list[str]) -> DataFrame:
+    """The columns ``kept`` of docs with __z, __site, __posterior. Every text is scored once; its score is written with the row."""
     scratch = Scratch(docs.sparkSession, "quality")
-    model = fit(docs, labels, id_col, text_col)
     path = F.to_json(F.struct(*[F.col(c).cast("string").alias(f"p{i}") for i, c in enumerate(path_cols)]))
-    scored = scratch.save(
-        docs.select(F.col(host_col).cast("string").alias("host"), path.alias("path"), evidence(model, F.col(text_col)).alias("z")), "scored"
-    )
-    sites, mu = site_shares(scratch, scored, 0.5)
+    rows = docs.select(*kept, F.col(host_col).cast("string").alias("__host"), path.alias("__path"), evidence(model, F.col(text_col)).alias("__z"))
+    rows = scratch.save(rows, "scored")
+    sites, _ = site_shares(scratch, rows.select(F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__z").alias("z")), 0.5)
     sites = scratch.save(sites.toDF("__h", "__p", "__n", "__s", "__above", "__strength"), "sites")
-    if sites.count() <= BROADCAST_SITES:
-        sites = F.broadcast(sites)
-    rows = docs.withColumn("__z", evidence(model, F.col(text_col)))
-    rows = rows.join(sites, F.col(host_col).cast("string").eqNullSafe(F.col("__h")) & path.eqNullSafe(F.col("__p")))
+    rows = lookups.attach(rows, sites, [(F.col("__host"), "__h"), (F.col("__path"), "__p")], F.xxhash64("__z", kept[0]))
     own = 1 / (1 + F.exp(-F.col("__z")))
     others = (F.col("__strength") * F.col("__above") + F.greatest(F.col("__s") - own, F.lit(0.0))) / (F.col("__strength") + F.col("__n") - 1)
     others = F.least(F.greatest(others, F.lit(1e-3)), F.lit(1 - 1e-3))
     posterior = 1 / (1 + F.exp(-(F.col("__z") + _odds(others))))
-    return rows.withColumn("__site", others).withColumn("__posterior", posterior)
+    return rows.select(*kept, "__z", others.alias("__site"), posterior.alias("__posterior"))
 
 
 def classify(
@@ -181,10 +177,13 @@ def classify(
     as they go in. Without labels of both kinds all evidence is 0 and every document is kept. An
     empty table gives an empty table; further columns are ignored.
     """
+    bound_batches(docs.sparkSession)
+    model = fit(docs, labels, id_col, text_col)
+    paths = tuple(f"__pa{i}" for i in range(len(path_cols)))
     ours = docs.select(
-        F.col(id_col).alias("__i"), F.col(text_col).alias("__t"), F.col(host_col).alias("__ho"), *[F.col(c).alias(f"__pa{i}") for i, c in enumerate(path_cols)]
+        F.col(id_col).alias("__i"), F.col(text_col).alias("__t"), F.col(host_col).alias("__ho"), *[F.col(c).alias(p) for c, p in zip(path_cols, paths, strict=True)]
     )
-    out = _judged(ours, labels.withColumnRenamed(id_col, "__i"), "__i", "__t", "__ho", tuple(f"__pa{i}" for i in range(len(path_cols))))
+    out = _judged(ours, model, "__t", "__ho", paths, ["__i"])
     return out.select(
         F.col("__i").alias(id_col),
         F.col("__z").alias("evidence"),
@@ -195,10 +194,15 @@ def classify(
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs whose posterior is 0.5 or more, with the columns of docs."""
+    """The rows of docs whose posterior is 0.5 or more, with the columns of docs.
+
+    Rows are judged one by one as in ``classify``: null text is empty, null sources and languages are
+    sites, null and repeated ids stay; an empty table gives an empty table.
+    """
+    bound_batches(docs.sparkSession)
+    model = fit(docs, labels)
     names = docs.columns
     fresh = [f"__c{i}" for i in range(len(names))]
     at = {n: fresh[names.index(n)] for n in ("doc_id", "text", "source", "lang")}
-    labels = labels.withColumnRenamed("doc_id", at["doc_id"])
-    out = _judged(docs.toDF(*fresh), labels, at["doc_id"], at["text"], at["source"], (at["lang"],))
+    out = _judged(docs.toDF(*fresh), model, at["text"], at["source"], (at["lang"],), fresh)
     return out.filter("__posterior >= 0.5").select(*[F.col(f).alias(n) for f, n in zip(fresh, names, strict=True)])
