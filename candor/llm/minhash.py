@@ -26,9 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from candor.llm import lookups
 from candor.llm import textkernel as tk
 from candor.llm.components import connected_components
 from candor.llm.scratch import Scratch
@@ -312,16 +314,37 @@ def near_duplicates(
 def kept_documents(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row of docs for each class of near-duplicates, that of its smallest id, with the columns of docs.
 
-    Of rows of one id the first by a hash of the text stays; rows without id all stay.
+    A document is an id with a text: rows that share an id but hold other texts are documents of
+    their own, and rows without id are told apart by their texts. Of equal ids with near-duplicate
+    texts, and of rows of one document, one stays. Null text is empty; texts without words are no
+    near-duplicates of each other. An empty table gives an empty table.
     """
     names = docs.columns
     fresh = [f"__c{i}" for i in range(len(names))]
     renamed = docs.toDF(*fresh)
     id_col, text_col = (F.col(fresh[names.index(n)]) for n in ("doc_id", "text"))
     scratch = Scratch(docs.sparkSession, "dedup")
-    classes = near_duplicates(docs.select("doc_id", "text"), "doc_id", "text", threshold, scratch)
-    stay = scratch.save(classes.filter("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct(), "stay")
-    rows = renamed.join(stay.hint("shuffle_hash"), id_col == F.col("__id"), "left_semi")
-    one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col)
-    rows = rows.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*fresh)
-    return rows.unionByName(renamed.filter(id_col.isNull())).toDF(*names)
+    unique = docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty()
+    if unique:  # the usual case: ids are keys
+        rows = renamed.withColumn("__key", id_col)
+    else:
+        rows = renamed.withColumn("__key", _content_key(id_col, docs.schema["doc_id"].dataType, text_col))
+    classes = near_duplicates(rows.select("__key", text_col.alias("__text")), "__key", "__text", threshold, scratch)
+    gone = scratch.save(classes.filter("NOT kept").select(F.col("__key").alias("__gone")).distinct(), "gone")
+    if lookups.weight(gone) <= lookups.BROADCAST_BYTES:
+        gone = F.broadcast(gone)
+    rows = rows.join(gone, F.col("__key") == F.col("__gone"), "left_anti")
+    if not unique:
+        whole = F.struct(*fresh)
+        rows = rows.groupBy("__key").agg(F.min_by(whole, F.xxhash64(*fresh)).alias("__row")).select("__row.*")
+    return rows.select(*[F.col(f).alias(n) for f, n in zip(fresh, names, strict=True)])
+
+
+def _content_key(id_col: Column, kind: T.DataType, text_col: Column) -> Column:
+    """A string for each id and text, in the order of the ids (numbers by value), null ids last."""
+    if isinstance(kind, T.IntegralType):
+        order = F.lpad((id_col.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    else:
+        order = id_col.cast("string")
+    text = F.md5(F.coalesce(text_col, F.lit("")))
+    return F.when(id_col.isNull(), F.concat(F.lit("n"), text)).otherwise(F.concat(F.lit("i"), order, F.lit(":"), text))
