@@ -9,10 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-#: Words of the unary bits that one entry of the rank directory spans.
-SPAN = 8
 
-_ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 _NTH = np.zeros((256, 8), np.uint8)
 for _b in range(256):
     for _k, _at in enumerate(i for i in range(8) if _b >> i & 1):
@@ -20,7 +17,7 @@ for _b in range(256):
 
 
 def build(values: np.ndarray) -> dict[str, np.ndarray]:
-    """The arrays of a sequence: meta (n, width of low bits), low, high, rank."""
+    """The arrays of a sequence: meta (n, width of low bits), low, high, and the ones and zeros before each word of high."""
     n = len(values)
     top = int(values[-1]) if n else 0
     width = max(0, (top // max(1, n)).bit_length() - 1)
@@ -34,20 +31,19 @@ def build(values: np.ndarray) -> dict[str, np.ndarray]:
         np.bitwise_or.at(low, word[over] + 1, part[over] >> (U(64) - offset[over]))
     place = (values >> U(width)).astype(np.int64) + np.arange(n)
     words = (int(place[-1]) if n else 0) // 64 + 2
-    words += -words % SPAN
     flags = np.zeros(words * 64, np.uint8)
     flags[place] = 1
     high = np.packbits(flags, bitorder="little").view(U)
-    ones = np.bitwise_count(high).reshape(-1, SPAN).sum(1, dtype=np.int64)
-    rank = np.concatenate([[0], np.cumsum(ones)]).astype(np.int64)
-    return {"meta": np.array([n, width], np.int64), "low": low, "high": high, "rank": rank}
+    ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])
+    zeros = np.arange(len(ones)) * 64 - ones
+    kind = np.uint32 if words < 1 << 26 else np.int64
+    return {"meta": np.array([n, width], np.int64), "low": low, "high": high, "ones": ones.astype(kind), "zeros": zeros.astype(kind)}
 
 
 class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.n, self.width = map(int, arrays["meta"])
-        self.low_words, self.high, self.rank = arrays["low"], arrays["high"], arrays["rank"]
-        self.zero_rank = None
+        self.low_words, self.high, self.ones, self.zeros = arrays["low"], arrays["high"], arrays["ones"], arrays["zeros"]
 
     def low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -61,26 +57,24 @@ class EliasFano:
 
     def _select(self, k: np.ndarray, ranks: np.ndarray, flip: bool) -> np.ndarray:
         """Bit of the k-th (from 0) one, or zero if flip."""
-        block = np.searchsorted(ranks, k, "right") - 1
-        words = self.high[block[:, None] * SPAN + np.arange(SPAN)]
-        if flip:
-            words = ~words
-        counts = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
-        left = k - ranks[block]
-        at = (counts <= left[:, None]).sum(1)
-        rows = np.arange(len(k))
-        left = left - np.where(at > 0, counts[rows, at - 1], 0)
-        octets = np.ascontiguousarray(words[rows, at]).view(np.uint8).reshape(-1, 8)
-        inside = np.cumsum(_ONES[octets], axis=1, dtype=np.int64)
-        octet = (inside <= left[:, None]).sum(1)
-        left = left - np.where(octet > 0, inside[rows, octet - 1], 0)
-        return (block * SPAN + at) * 64 + octet * 8 + _NTH[octets[rows, octet], left]
+        word = np.searchsorted(ranks, k.astype(ranks.dtype), "right") - 1
+        left = k - ranks[word]
+        rest = ~self.high[word] if flip else self.high[word]
+        at = word << 6
+        for half in (32, 16, 8):
+            count = np.bitwise_count(rest & U((1 << half) - 1)).astype(np.int64)
+            over = left >= count
+            left -= np.where(over, count, 0)
+            step = over * half
+            rest = rest >> step.astype(U)
+            at += step
+        return at + _NTH[(rest & U(255)).astype(np.int64), left]
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Numbers at positions i, 0 <= i < n."""
         if not len(i):
             return np.zeros(0, U)
-        high = self._select(i, self.rank, False) - i
+        high = self._select(i, self.ones, False) - i
         return high.astype(U) << U(self.width) | self.low(i)
 
     def find(self, x: np.ndarray) -> np.ndarray:
@@ -91,19 +85,17 @@ class EliasFano:
         """
         if not len(x) or not self.n:
             return np.zeros(len(x), np.int64)
-        if self.zero_rank is None:
-            self.zero_rank = np.arange(len(self.rank), dtype=np.int64) * (SPAN * 64) - self.rank
         out = np.full(len(x), self.n, np.int64)
-        inside = np.flatnonzero((x >> U(self.width)).astype(np.int64) < self.zero_rank[-1])
+        inside = np.flatnonzero((x >> U(self.width)).astype(np.int64) < self.zeros[-1])
         high, low = (x[inside] >> U(self.width)).astype(np.int64), x[inside] & U((1 << self.width) - 1)
         # bits between the two zeros are the run; most runs are short and end in the same word
         first = np.zeros(len(inside), np.int64)
         later = np.flatnonzero(high > 0)
-        first[later] = self._select(high[later] - 1, self.zero_rank, True) + 1
+        first[later] = self._select(high[later] - 1, self.zeros, True) + 1
         word = ~self.high[first >> 6] >> (first & 63).astype(U)
         length = np.bitwise_count((word & (~word + U(1))) - U(1)).astype(np.int64)
         long = np.flatnonzero(word == 0)
-        length[long] = self._select(high[long], self.zero_rank, True) - first[long]
+        length[long] = self._select(high[long], self.zeros, True) - first[long]
         at = first - high
         end = at + length
         live = np.flatnonzero(length > 0)

@@ -1,17 +1,22 @@
 """Language-model scoring from an Elias-Fano n-gram trie.
 
-The model is a bigram model of words with modified Kneser-Ney discounts (one each for counts of one,
-two, and more, from the counts of counts), interpolated with add-one unigrams. It is counted over all
-training documents and kept as a trie of two levels, cut by the leading bits of the words' hashes
-into shards of about SHARD_TOKENS training tokens, each one file in the shared folder:
-
-level 1: the shard's words as sorted hashes, so that a word's id is its rank, with their counts;
-level 2: for each word the words that follow it. Elias-Fano pointers bound each word's range; ids
-are made non-decreasing over the whole level by adding the last value of the range before, and are
-an Elias-Fano sequence too. Log probabilities and back-off weights are quantised to 256 values.
-
-A look-up adds the range's base to the id and takes the successor, so ids are searched relative to
-their context. Executors map the files; neither the driver nor a worker ever holds the model.
+The model is an n-gram model of words (order 3 unless told otherwise) with modified Kneser-Ney
+discounts (at each order one each for counts of one, two, and more, from the counts of counts),
+interpolated down to add-one unigrams. It is counted over all training documents and kept as a trie
+of one level for each order, in the shared folder:
+
+level 1: words as sorted hashes, cut by their leading bits into shards, so that a word's id is its
+rank, with their counts;
+level k: for each node of level k - 1 the words that follow it. Elias-Fano pointers bound each node's
+range; word ids are made non-decreasing over a file by adding the last value of the range before, and
+are an Elias-Fano sequence too. A node's number is its place in its level. Discounted log probabilities
+and back-off weights are quantised to 256 values.
+
+A look-up adds the range's base to the id and takes the successor, so words are searched relative to
+their context, level by level. A level is cut into pieces of about SHARD_TOKENS training tokens: the
+followers of a shard or piece of the level above, and where those were counted more often than that,
+as with a frequent context, ranges of word ids of them. Executors map the files; neither the driver
+nor a worker ever holds the model, and the driver keeps only totals.
 """
 
 from __future__ import annotations
@@ -31,16 +36,24 @@ from candor.llm.scratch import Scratch
 from candor.llm.workers import bound_batches, release, trimmed
 
 U = np.uint64
+ORDER = 3
 #: The end of a text, a token and the context of its first word.
 END = U(0x5EED0FE2D0FA11ED)
 SHARD_TOKENS = 2_000_000
 #: Tokens that a task combines before it hands their counts on.
 BUFFER = 2_000_000
-CHUNK = 1 << 21
-#: Shards that a worker holds open, of words and of pairs each: mapped ones, and ones read into memory.
+#: Bytes of text that are looked up together.
+CHUNK = 1 << 22
+#: Files of each kind that a worker holds open: mapped ones, and ones read into memory.
 OPEN_MAPPED, OPEN_READ = 4096, 64
 
 
+#: Of a parent: how often something follows it, and its followers by how often they do: once, twice, more.
+_STATS = ("total", "once", "twice", "more")
+_LIST = pa.list_(pa.int64())
+_FILE = pa.schema([*((c, pa.int64()) for c in ("file", "n", "tokens")), ("of", _LIST), ("above", pa.int64()), ("at", _LIST), *((c, _LIST) for c in _STATS)])
+
+
 def held_out(id_col: str, modulus: int = 7, remainder: int = 2) -> Column:
     """Whether a row is kept out of training; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % modulus == remainder
@@ -59,13 +72,8 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, ends
 
 
-def _before(tokens: np.ndarray) -> np.ndarray:
-    """Each token's context: the token before it, END before a text's first."""
-    return np.concatenate([np.array([END], U), tokens[:-1]])
-
-
 def _buffers(batches, column: int = 0):
-    """Tokens of many texts at a time, up to about BUFFER."""
+    """Tokens of many whole texts at a time, up to about BUFFER."""
     held, n = [], 0
     for batch in batches:
         texts = tk.as_bytes(batch.column(column))
@@ -87,13 +95,13 @@ def _count_words(batches):
 
 
 class Shelf:
-    """Opened shards by number; beyond its bound the one that was used longest ago is closed."""
+    """Opened files by level and number, or number; beyond its bound the one that was used longest ago is closed."""
 
-    def __init__(self, root: str, load: Callable[[int], dict]):
+    def __init__(self, root: str, load: Callable):
         self.load, self.most = load, OPEN_MAPPED if sharedfiles.mapped(root) else OPEN_READ
-        self.held: dict[int, dict] = {}
+        self.held: dict = {}
 
-    def __getitem__(self, s: int) -> dict:
+    def __getitem__(self, s):
         found = self.held.pop(s, None) or self.load(s)
         self.held[s] = found  # dictionaries keep the order of insertion
         if len(self.held) > self.most:
@@ -101,65 +109,185 @@ class Shelf:
         return found
 
 
-def _runs(shards: np.ndarray) -> Iterator[tuple[int, slice]]:
-    """(shard, its places) of a sorted array of shard numbers: only shards that occur."""
-    if len(shards):
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(shards)) + 1, [len(shards)]])
+def _runs(numbers: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(number, its places) of a sorted array: only numbers that occur."""
+    if len(numbers):
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(numbers)) + 1, [len(numbers)]])
         for i, j in zip(edges[:-1], edges[1:], strict=True):
-            yield int(shards[i]), slice(int(i), int(j))
+            yield int(numbers[i]), slice(int(i), int(j))
 
 
-class Vocabulary:
-    """Level 1 of all shards: hash to id (rank over all shards) and id to count.
+class Grams:
+    """A piece of a level: pointers by parent, counted from the first one of the parents' file, and followers."""
 
-    first: the id of each shard's first word, and the number of words; a shared file too.
-    """
+    def __init__(self, root: str, level: int, piece: int):
+        a = sharedfiles.read(root, f"grams-{level}-{piece}")
+        part = lambda p: EliasFano({k: a[f"{p}_{k}"] for k in ("meta", "low", "high", "ones", "zeros")})
+        self.pointers, self.followers = part("pointer"), part("follower")
+
+    def sections(self, parents: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, end, base) of the ranges of parents."""
+        bounds = self.pointers.get(np.concatenate([parents, parents + 1])).astype(np.int64)
+        first, end = bounds[: len(parents)], bounds[len(parents) :]
+        base = np.zeros(len(parents), U)
+        later = first > 0
+        base[later] = self.followers.get(first[later] - 1)
+        return first, end, base
+
+    def places(self, parents: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The place of each (parent, word), -1 where there is none; parents in order."""
+        each, at = np.unique(parents, return_inverse=True)
+        _, end, base = self.sections(each)
+        x = base[at] + words.astype(U)
+        place = self.followers.find(x)
+        seen = place < end[at]
+        seen[seen] = self.followers.get(place[seen]) == x[seen]
+        return np.where(seen, place, -1)
 
-    def __init__(self, root: str):
-        self.first = sharedfiles.read(root, "first")["id"]
-        self.bits = int(math.log2(len(self.first) - 1)) if len(self.first) > 1 else 0
-        self.shards = Shelf(root, lambda s: sharedfiles.read(root, f"words-{s}"))
-        self.levels = Shelf(root, lambda s: _level(root, s))
 
-    def owner(self, ids: np.ndarray) -> np.ndarray:
-        """The shard of each id."""
-        return np.searchsorted(self.first, ids, "right") - 1
+class Trie:
+    """The files below a root. Nodes of a level are numbered through; ``first(k)`` holds each file's first number and their total."""
+
+    def __init__(self, root: str):
+        self.root = root
+        self.arrays: dict[str, np.ndarray] = {}
+        self.bits = int(math.log2(max(1, len(self.first(1)) - 1)))
+        self.words = Shelf(root, lambda s: sharedfiles.read(root, f"words-{s}"))
+        self.grams = Shelf(root, lambda at: Grams(root, *at))
+        self.probs = Shelf(root, lambda at: sharedfiles.read(root, f"probs-{at[0]}-{at[1]}"))
+        self.backs = Shelf(root, lambda at: sharedfiles.read(root, f"back-{at[0]}-{at[1]}"))
+
+    def _array(self, name: str, part: str) -> np.ndarray:
+        if name not in self.arrays:
+            self.arrays[name] = sharedfiles.read(self.root, name)[part]
+        return self.arrays[name]
+
+    def first(self, level: int) -> np.ndarray:
+        """The first node of each file of a level, and the number of nodes."""
+        return self._array(f"first-{level}", "id")
+
+    def cuts(self, level: int) -> np.ndarray:
+        """The first piece of each file of the level above, and the number of pieces."""
+        return self._array(f"cuts-{level}", "piece")
+
+    def owner(self, level: int, nodes: np.ndarray) -> np.ndarray:
+        """The file of each node."""
+        return np.searchsorted(self.first(level), nodes, "right") - 1
 
     def look_up(self, sorted_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of distinct sorted hashes; -1 and 0 for unknown words."""
         ids, counts = np.full(len(sorted_hashes), -1, np.int64), np.zeros(len(sorted_hashes), np.int64)
         of = (sorted_hashes >> U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(sorted_hashes), np.int64)
+        first = self.first(1)
         for s, part in _runs(of):
-            if self.first[s] == self.first[s + 1]:
+            if first[s] == first[s + 1]:
                 continue
-            known = self.shards[s]
+            known = self.words[s]
             at = np.searchsorted(known["h"], sorted_hashes[part])
             at[at == len(known["h"])] = 0
             hit = known["h"][at] == sorted_hashes[part]
-            ids[part] = np.where(hit, at + self.first[s], -1)
+            ids[part] = np.where(hit, at + first[s], -1)
             counts[part] = np.where(hit, known["c"][at], 0)
         return ids, counts
 
+    def pieces(self, level: int, parents: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(piece, parent counted from its file's first) of pairs of a node of the level above and a word."""
+        s, cuts = self.owner(level - 1, parents), self.cuts(level)
+        parts = cuts[s + 1] - cuts[s]
+        vocabulary = int(self.first(1)[-1])
+        return cuts[s] + words * parts // vocabulary, parents - self.first(level - 1)[s]
+
+    def find(self, level: int, parents: np.ndarray, words: np.ndarray, weighed: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(node, discounted probability) of pairs; -1 and 0 where there is none. Probabilities only if weighed."""
+        node, share = np.full(len(parents), -1, np.int64), np.zeros(len(parents))
+        if not len(parents):
+            return node, share
+        piece, local = self.pieces(level, parents, words)
+        order = np.argsort(piece, kind="stable")
+        piece, local, words = piece[order], local[order], words[order]
+        first = self.first(level)
+        for p, part in _runs(piece):
+            if first[p] == first[p + 1]:
+                continue
+            place = self.grams[level, p].places(local[part], words[part])
+            seen = place >= 0
+            to = order[part][seen]
+            node[to] = place[seen] + first[p]
+            if weighed:
+                probs = self.probs[level, p]
+                share[to] = probs["book"][probs["code"][place[seen]]]
+        return node, share
+
+    def back_off(self, level: int, nodes: np.ndarray) -> np.ndarray:
+        """The weight that each distinct, sorted node of a level leaves to shorter contexts, 1 if nothing follows it."""
+        out = np.ones(len(nodes))
+        first, cuts = self.first(level + 1), self.cuts(level + 1)
+        of = self.owner(level, nodes)
+        for s, part in _runs(of):
+            if first[cuts[s + 1]] > first[cuts[s]]:
+                backs = self.backs[level, s]
+                out[part] = backs["book"][backs["code"][nodes[part] - self.first(level)[s]]]
+        return out
 
-_vocabularies: dict[str, Vocabulary] = {}
 
+_tries: dict[str, Trie] = {}
 
-def _vocabulary(root: str) -> Vocabulary:
-    if root not in _vocabularies:
-        _vocabularies.clear()
-        _vocabularies[root] = Vocabulary(root)
-    return _vocabularies[root]
 
+def _trie(root: str) -> Trie:
+    if root not in _tries:
+        _tries.clear()
+        _tries[root] = Trie(root)
+    return _tries[root]
 
-def _trie(root: str, s: int) -> dict[str, EliasFano]:
-    """Pointers and followers of a shard."""
-    a = sharedfiles.read(root, f"pairs-{s}")
-    part = lambda p: EliasFano({k: a[f"{p}_{k}"] for k in ("meta", "low", "high", "rank")})
-    return {"pointers": part("pointer"), "followers": part("follower")}
 
+class Walk:
+    """The n-grams of some tokens, as distinct (parent, word) pairs of each level and each token's pair.
 
-def _level(root: str, s: int) -> dict:
-    return _trie(root, s) | sharedfiles.read(root, f"probs-{s}")
+    Tokens are whole texts, each ended by END. A text's first word has END as its context and no longer one.
+    """
+
+    def __init__(self, trie: Trie, tokens: np.ndarray):
+        self.trie = trie
+        self.hashes, self.word = np.unique(tokens, return_inverse=True)
+        self.ids, self.counts = trie.look_up(self.hashes)
+        self.starts = np.concatenate([[True], tokens[:-1] == END])
+        (self.end,) = trie.look_up(np.array([END], U))[0]
+        # each token's node of the level before: its number among the distinct ones, -1 where it has none
+        self.own, self.nodes = self.word, self.ids
+
+    def step(self, level: int) -> None:
+        """Sets pair (each token's distinct pair, -1 if its context is unknown), parent and words of the pairs."""
+        if level == 2:
+            end = np.flatnonzero(self.hashes == END)
+            before = np.concatenate([end, self.own[:-1]])
+        else:
+            before = np.concatenate([[-1], self.own[:-1]])
+            before[self.starts] = -1
+        known = before >= 0
+        known[known] = self.nodes[before[known]] >= 0
+        size = len(self.hashes)
+        pairs, at = np.unique(before[known] * size + self.word[known], return_inverse=True)
+        self.pair = np.full(len(self.word), -1, np.int64)
+        self.pair[known] = at
+        self.parent_at, self.word_at = pairs // size, pairs % size
+        self.parents, self.words = self.nodes[self.parent_at], self.ids[self.word_at]
+
+    def find(self, level: int, weighed: bool = False) -> np.ndarray:
+        """Looks the pairs up, which become the nodes of the next step; returns their discounted probabilities."""
+        node, share = np.full(len(self.parents), -1, np.int64), np.zeros(len(self.parents))
+        told = np.flatnonzero(self.words >= 0)
+        node[told], share[told] = self.trie.find(level, self.parents[told], self.words[told], weighed)
+        self.own, self.nodes = self.pair, node
+        return share
+
+
+def keys_of(trie: Trie, level: int, parents: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, parent within its file and word as one number) of pairs that a level is to hold."""
+    vocabulary = int(trie.first(1)[-1])
+    piece, local = trie.pieces(level, parents, words)
+    if len(local) and int(local.max()).bit_length() + vocabulary.bit_length() > 64:
+        raise ValueError(f"contexts up to {int(local.max())} of a file and {vocabulary} words don't fit in 64 bits: lower SHARD_TOKENS")
+    return piece, local.astype(U) << U(vocabulary.bit_length()) | words.astype(U)
 
 
 def _pack(keys: np.ndarray) -> bytes:
@@ -173,68 +301,48 @@ def _unpack(raw: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(U).ravel(), dtype=U)
 
 
-def _sections(pointers: EliasFano, followers: EliasFano, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, end, base) of the ranges of contexts, by their index in the shard."""
-    bounds = pointers.get(np.concatenate([context, context + 1])).astype(np.int64)
-    first, end = bounds[: len(context)], bounds[len(context) :]
-    base = np.zeros(len(context), U)
-    later = first > 0
-    base[later] = followers.get(first[later] - 1)
-    return first, end, base
-
-
-def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, 256 values): exact for up to 256 values, else means of bins between quantiles and even steps."""
+def _quantised(x: np.ndarray) -> dict[str, np.ndarray]:
+    """Codes and 256 values of the powers of ten of x: exact for up to 256 values, else of means of bins between quantiles and even steps."""
     values = np.unique(x)
     if len(values) <= 256:
         book = np.concatenate([values, np.zeros(256 - len(values))])
-        return np.searchsorted(values, x).astype(np.uint8), book
+        return {"code": np.searchsorted(values, x).astype(np.uint8), "book": 10.0**book}
     even = np.linspace(values[0], values[-1], 130)[1:-1]
     edges = np.unique(np.concatenate([np.quantile(x, np.arange(1, 128) / 128), even]))
     code = np.searchsorted(edges, x, "right")
     n = np.bincount(code, minlength=256)
-    return code.astype(np.uint8), np.bincount(code, x, 256) / np.maximum(n, 1)
+    return {"code": code.astype(np.uint8), "book": 10.0 ** (np.bincount(code, x, 256) / np.maximum(n, 1))}
 
 
-class BigramModel:
-    """What a scorer needs to know besides the files: where they are, totals, discounts."""
+class Model:
+    """What a scorer needs to know besides the files: where they are, totals, the order."""
 
-    def __init__(self, root: str, words: int, tokens: int, discounts: tuple[float, float, float]):
-        self.root, self.words, self.tokens, self.discounts = root, words, tokens, discounts
+    def __init__(self, root: str, words: int, tokens: int, order: int):
+        self.root, self.words, self.tokens, self.order = root, words, tokens, order
 
     def log_probs(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(counts, add-one unigram, model) of each token, the latter two as log10, in texts joined by END."""
-        vocabulary = _vocabulary(self.root)
-        known, inverse = np.unique(tokens, return_inverse=True)
-        ids, counts = vocabulary.look_up(known)
-        unigram = np.log10((counts + 1) / (self.tokens + 1 * (self.words + 1)))
-        word = ids[inverse]
-        (end,), _ = vocabulary.look_up(np.array([END], U))
-        context = np.concatenate([[end], word[:-1]])
-        base = unigram[inverse]
-        score = base.copy()
-        pair = np.flatnonzero(context >= 0)
-        key = context[pair].astype(U) << U(32) | np.where(word[pair] >= 0, word[pair], 0xFFFFFFFF).astype(U)
-        key, back = np.unique(key, return_inverse=True)
-        own, w = (key >> U(32)).astype(np.int64), key & U(0xFFFFFFFF)
-        hit, gain = np.zeros(len(key), bool), np.zeros(len(key))
-        for s, part in _runs(vocabulary.owner(own)):
-            level = vocabulary.levels[s]
-            contexts, at = np.unique(own[part] - vocabulary.first[s], return_inverse=True)
-            first, stop, offset = _sections(level["pointers"], level["followers"], contexts)
-            x = offset[at] + w[part]
-            place = level["followers"].find(x)
-            seen = (place < stop[at]) & (w[part] != U(0xFFFFFFFF))
-            seen[seen] = level["followers"].get(place[seen]) == x[seen]
-            hit[part] = seen
-            gain[part] = level["back_book"][level["back"][contexts]][at]
-            gain[part.start : part.stop][seen] = level["prob_book"][level["prob"][place[seen]]]
-        score[pair] = np.where(hit[back], gain[back], gain[back] + base[pair])
-        return counts[inverse], base, score
-
-
-def train(docs: DataFrame, text_col: str = "text", scratch: Scratch | None = None) -> BigramModel:
-    """Counts docs and writes the trie; null text is empty. Ids are 32 bits, so up to 4e9 distinct words."""
+        trie = _trie(self.root)
+        walk = Walk(trie, tokens)
+        unigram = (walk.counts + 1) / (self.tokens + 1 * (self.words + 1))
+        p = unigram[walk.word]
+        for k in range(2, self.order + 1):
+            walk.step(k)
+            parents, pair = walk.parents, walk.pair
+            each, at = np.unique(parents, return_inverse=True)
+            back = trie.back_off(k - 1, each)[at]
+            share = walk.find(k, weighed=True)
+            told = pair >= 0
+            p[told] = share[pair[told]] + back[pair[told]] * p[told]
+        return walk.counts[walk.word], np.log10(unigram)[walk.word], np.log10(p)
+
+
+def train(docs: DataFrame, text_col: str = "text", scratch: Scratch | None = None, order: int = ORDER) -> Model:
+    """Counts docs and writes the trie; null text is empty.
+
+    Counts and node numbers have 64 bits. A pair of a parent within its file and a word id has to fit
+    in 64 bits, which is checked; with SHARD_TOKENS parents a file that allows for 2 ** 43 words.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
     scratch = scratch or Scratch(spark, "lm")
@@ -244,45 +352,87 @@ def train(docs: DataFrame, text_col: str = "text", scratch: Scratch | None = Non
     words = scratch.save(words, "words")
     tokens = words.agg(F.sum("c")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, tokens / SHARD_TOKENS))))
-    shard = F.shiftrightunsigned("h", 64 - bits).cast("int") if bits else F.lit(0)
+    shard = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("bigint")
 
     def write_words(table: pa.Table) -> pa.Table:
-        s = table["s"][0].as_py()
+        s = table["file"][0].as_py()
         h, c = np.asarray(table["h"]).view(U), np.asarray(table["c"])
-        order = np.argsort(h)
-        sharedfiles.write(root, f"words-{s}", {"h": h[order], "c": c[order].astype(np.int64)})
-        return pa.table({"s": pa.array([s], pa.int32()), "n": pa.array([len(h)], pa.int64())})
-
-    sizes = {r["s"]: r["n"] for r in words.withColumn("s", shard).groupBy("s").applyInArrow(write_words, "s int, n bigint").collect()}
-    first = [0]
-    for s in range(1 << bits):
-        first.append(first[-1] + sizes.get(s, 0))
-    total_words = first[-1]
-    sharedfiles.write(root, "first", {"id": np.array(first, np.int64)})
-
-    def count_pairs(batches):
-        vocabulary = _vocabulary(root)
-        for found in _buffers(batches):
-            known, inverse = np.unique(found, return_inverse=True)
-            ids = vocabulary.look_up(known)[0].astype(U)
-            word = ids[inverse]
-            end = U(vocabulary.look_up(np.array([END], U))[0][0])
-            key, c = np.unique(np.concatenate([[end], word[:-1]]) << U(32) | word, return_counts=True)
-            for s, part in _runs(vocabulary.owner((key >> U(32)).astype(np.int64))):
-                few = np.minimum(c[part], 255).astype(np.uint8)
-                many = np.flatnonzero(c[part] >= 255)
-                raw = [_pack(key[part]), pa.compress(few.tobytes(), codec="zstd", asbytes=True), np.column_stack([many, c[part][many]]).astype(np.int64).tobytes()]
+        rank = np.argsort(h)
+        sharedfiles.write(root, f"words-{s}", {"h": h[rank], "c": c[rank].astype(np.int64)})
+        return pa.table({"file": pa.array([s], pa.int64()), "n": pa.array([len(h)], pa.int64()), "tokens": pa.array([c.sum()], pa.int64())})
+
+    width = _width(spark, 1 << bits)
+    made = words.withColumn("file", shard).repartition(width, "file").groupBy("file").applyInArrow(write_words, "file bigint, n bigint, tokens bigint")
+    total_words, pieces = _plan(scratch.save(made, "files"), root, 1, 1 << bits)
+    scratch.drop(words)
+    for k in range(2, order + 1):
+        if total_words:
+            pieces = _add_level(scratch, texts, root, k, pieces)
+    return Model(root, total_words, tokens, order if total_words else 1)
+
+
+def _width(spark, files: int) -> int:
+    """Partitions for a number of files: one each, up to four for each core there is, 4,096 at least."""
+    return max(1, min(files, max(4096, 4 * spark.sparkContext.defaultParallelism)))
+
+
+def _plan(files: DataFrame, root: str, level: int, number: int) -> tuple[int, int]:
+    """Numbers the nodes of a level's files (file, n, tokens) and cuts the level below into pieces; (nodes, pieces).
+
+    One task writes both as arrays with a number for each of ``number`` files; the driver gets the totals.
+    """
+
+    def write(table: pa.Table) -> pa.Table:
+        n, tokens = np.zeros(number, np.int64), np.zeros(number, np.int64)
+        at = np.asarray(table["file"])
+        n[at], tokens[at] = np.asarray(table["n"]), np.asarray(table["tokens"])
+        first = np.concatenate([[0], np.cumsum(n)])
+        piece = np.concatenate([[0], np.cumsum(np.maximum(1, tokens // SHARD_TOKENS))])
+        sharedfiles.write(root, f"first-{level}", {"id": first})
+        sharedfiles.write(root, f"cuts-{level + 1}", {"piece": piece})
+        return pa.table({"nodes": pa.array(first[-1:]), "pieces": pa.array(piece[-1:])})
+
+    row = files.select("file", "n", "tokens").groupBy(F.lit(1).alias("one")).applyInArrow(write, "nodes bigint, pieces bigint").first()
+    if row is None:
+        sharedfiles.write(root, f"first-{level}", {"id": np.zeros(number + 1, np.int64)})
+    return (row["nodes"], row["pieces"]) if row else (0, 0)
+
+
+def _add_level(scratch: Scratch, texts: DataFrame, root: str, k: int, pieces: int) -> int:
+    """Counts the n-grams of order k and writes level k of the trie; returns the pieces of the level below."""
+    spark = texts.sparkSession
+    temporary = f"{root}/counts-{k}"
+
+    def count(batches):
+        trie = _trie(root)
+        for tokens in _buffers(batches):
+            walk = Walk(trie, tokens)
+            for lower in range(2, k):
+                walk.step(lower)
+                walk.find(lower)
+            walk.step(k)
+            times = np.bincount(walk.pair[walk.pair >= 0], minlength=len(walk.parents))
+            piece, key = keys_of(trie, k, walk.parents, walk.words)
+            order = np.argsort(piece, kind="stable")
+            piece, key, times = piece[order], key[order], times[order]
+            for p, part in _runs(piece):
+                inside = np.argsort(key[part], kind="stable")
+                mine = times[part][inside]
+                many = np.flatnonzero(mine >= 255)
+                few = np.minimum(mine, 255).astype(np.uint8).tobytes()
+                raw = [_pack(key[part][inside]), pa.compress(few, codec="zstd", asbytes=True), np.column_stack([many, mine[many]]).astype(np.int64).tobytes()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([s], pa.int32()), pa.array([part.stop - part.start], pa.int64()), *(pa.array([r], pa.binary()) for r in raw)],
-                    ["s", "n", "keys", "few", "many"],
+                    [pa.array([p], pa.int64()), pa.array([part.stop - part.start], pa.int64()), *(pa.array([r], pa.binary()) for r in raw)],
+                    ["file", "n", "keys", "few", "many"],
                 )
 
-    def write_pairs(table: pa.Table) -> pa.Table:
-        s = table["s"][0].as_py()
-        first = _vocabulary(root).first
+    def write_grams(table: pa.Table) -> pa.Table:
+        p = table["file"][0].as_py()
+        trie = _trie(root)
+        word_bits = int(trie.first(1)[-1]).bit_length()
         keys, counts = [], []
-        for n, k, few, many in zip(*(table[c].to_pylist() for c in ("n", "keys", "few", "many")), strict=True):
-            keys.append(_unpack(k, n))
+        for n, packed, few, many in zip(*(table[c].to_pylist() for c in ("n", "keys", "few", "many")), strict=True):
+            keys.append(_unpack(packed, n))
             c = np.frombuffer(pa.decompress(few, n, codec="zstd", asbytes=True), np.uint8).astype(np.int64)
             more = np.frombuffer(many, np.int64).reshape(-1, 2)
             c[more[:, 0]] = more[:, 1]
@@ -291,70 +441,88 @@ def train(docs: DataFrame, text_col: str = "text", scratch: Scratch | None = Non
         del keys, counts
         order = np.argsort(key, kind="stable")
         key, count = key[order], count[order]
-        new = np.flatnonzero(np.diff(key, prepend=key[0] - U(1)) != 0)
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         key, count = key[new], np.add.reduceat(count, new)
-        context = (key >> U(32)).astype(np.int64) - first[s]
-        follower = key & U(0xFFFFFFFF)
-        contexts = first[s + 1] - first[s]
-        start = np.searchsorted(context, np.arange(contexts + 1))
-        # the last id of each context before, summed over contexts, is the base of a range
+        cuts = trie.cuts(k)
+        s = int(np.searchsorted(cuts, p, "right") - 1)
+        parents = int(trie.first(k - 1)[s + 1] - trie.first(k - 1)[s])
+        parent, word = (key >> U(word_bits)).astype(np.int64), key & U((1 << word_bits) - 1)
+        start = np.searchsorted(parent, np.arange(parents + 1))
+        # the last id of each parent before, summed over parents, is the base of a range
         filled = np.flatnonzero(np.diff(start))
-        last = np.zeros(contexts, U)
-        last[filled] = follower[start[filled + 1] - 1]
+        last = np.zeros(parents, U)
+        last[filled] = word[start[filled + 1] - 1]
         base = np.concatenate([np.zeros(1, U), np.cumsum(last)])[:-1]
         arrays = {}
-        for name, values in (("pointer", start.astype(U)), ("follower", follower + base[context])):
-            arrays |= {f"{name}_{k}": a for k, a in eliasfano.build(values).items()}
-        sharedfiles.write(root, f"pairs-{s}", arrays)
-        sharedfiles.write(root, f"counts-{s}", {"c": count.astype(np.uint32)})
+        for name, values in (("pointer", start.astype(U)), ("follower", word + base[parent])):
+            arrays |= {f"{name}_{part}": a for part, a in eliasfano.build(values).items()}
+        sharedfiles.write(root, f"grams-{k}-{p}", arrays)
+        sharedfiles.write(temporary, f"counts-{p}", {"c": count})
+        stats = [np.bincount(parent, count, parents).astype(np.int64)]
+        stats += [np.bincount(parent[chosen], minlength=parents) for chosen in (count == 1, count == 2, count >= 3)]
+        some = np.zeros(0, np.int64)
+        if cuts[s + 1] - cuts[s] == 1:
+            sharedfiles.write(temporary, f"parents-{s}", dict(zip(_STATS, stats, strict=True)))
+        else:  # what other pieces know of these parents has to be added
+            some = filled
         release()
         of = np.bincount(np.minimum(count, 5), minlength=6)[1:5]
-        return pa.table({"s": pa.array([s], pa.int32()), "of": pa.array([of.tolist()], pa.list_(pa.int64()))})
-
-    pairs = texts.mapInArrow(trimmed(count_pairs), "s int, n bigint, keys binary, few binary, many binary")
-    made = pairs.repartition(max(1, min(1 << bits, 4096)), "s").groupBy("s").applyInArrow(write_pairs, "s int, of array<bigint>").collect()
-    n1, n2, n3, n4 = np.array([r["of"] for r in made], np.float64).reshape(-1, 4).sum(0)
+        row = {"file": p, "n": len(key), "tokens": int(count.sum()), "of": of.tolist(), "above": s, "at": some.tolist()}
+        row |= {name: x[some].tolist() for name, x in zip(_STATS, stats, strict=True)}
+        return pa.Table.from_pylist([row], _FILE)
+
+    def write_parents(table: pa.Table) -> pa.Table:
+        s = table["above"][0].as_py()
+        first = _trie(root).first(k - 1)
+        at = np.asarray(table["at"])
+        stats = {}
+        for name in _STATS:
+            stats[name] = np.zeros(int(first[s + 1] - first[s]), np.int64)
+            stats[name][at] = np.asarray(table[name])
+        sharedfiles.write(temporary, f"parents-{s}", stats)
+        return pa.table({"above": pa.array([s], pa.int64())})
+
+    found = texts.mapInArrow(trimmed(count), "file bigint, n bigint, keys binary, few binary, many binary")
+    fields = ", ".join(f"{name} array<bigint>" for name in _STATS)
+    made = found.repartition(_width(spark, pieces), "file").groupBy("file").applyInArrow(
+        write_grams, f"file bigint, n bigint, tokens bigint, of array<bigint>, above bigint, at array<bigint>, {fields}"
+    )
+    made = scratch.save(made, "files")
+    parts = made.filter("size(at) > 0").select("above", F.explode(F.arrays_zip("at", *_STATS)).alias("x")).select("above", "x.*")
+    whole = parts.groupBy("above", "at").agg(*[F.sum(name).alias(name) for name in _STATS])
+    whole.groupBy("above").applyInArrow(write_parents, "above bigint").count()
+    _, below = _plan(made, root, k, pieces)
+    n1, n2, n3, n4 = (float(x or 0) for x in made.agg(*[F.sum(F.get("of", F.lit(i))) for i in range(4)]).first())
     y = n1 / max(1.0, n1 + 2 * n2)
-    bound = lambda k, d: float(np.clip(d, 0.05 * k, 0.99 * k))
-    discounts = (bound(1, 1 - 2 * y * n2 / max(1.0, n1)), bound(2, 2 - 3 * y * n3 / max(1.0, n2)), bound(3, 3 - 4 * y * n4 / max(1.0, n3)))
-    model = BigramModel(root, total_words, tokens, discounts)
+    bound = lambda c, d: float(np.clip(d, 0.05 * c, 0.99 * c))
+    discounts = np.array([bound(1, 1 - 2 * y * n2 / max(1.0, n1)), bound(2, 2 - 3 * y * n3 / max(1.0, n2)), bound(3, 3 - 4 * y * n4 / max(1.0, n3))])
 
-    def write_probs(batches):
+    def weigh(batches):
+        trie = _trie(root)
+        first, cuts = trie.first(k), trie.cuts(k)
         for batch in batches:
-            for s in batch.column(0).to_pylist():
-                pointers, followers = _trie(root, s).values()
-                count = sharedfiles.read(root, f"counts-{s}")["c"].astype(np.int64)
-                start = pointers.get(np.arange(pointers.n)).astype(np.int64)
-                context = np.repeat(np.arange(len(start) - 1), np.diff(start))
-                value = followers.get(np.arange(followers.n))
-                _, _, base = _sections(pointers, followers, np.arange(len(start) - 1))
-                follower = (value - base[context]).astype(np.int64)
-                total = np.bincount(context, count, len(start) - 1)
-                off = np.array(discounts)[np.minimum(count, 3) - 1]
-                weight = np.bincount(context, off, len(start) - 1) / np.maximum(total, 1)
-                weight[total == 0] = 1.0
-                vocabulary = _vocabulary(root)
-                owner = vocabulary.owner(follower)
-                word_count = np.zeros(len(follower), np.int64)
-                for o in np.unique(owner):
-                    mine = owner == o
-                    word_count[mine] = vocabulary.shards[int(o)]["c"][follower[mine] - vocabulary.first[o]]
-                unigram = (word_count + 1) / (tokens + total_words + 1)
-                prob, prob_book = _quantised(np.log10((count - off) / total[context] + weight[context] * unigram))
-                back, back_book = _quantised(np.log10(weight))
-                sharedfiles.write(root, f"probs-{s}", {"prob": prob, "prob_book": prob_book, "back": back, "back_book": back_book})
-                sharedfiles.remove(root, f"counts-{s}")
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32())], ["s"])
-
-    shards = [r["s"] for r in made]
-    if shards:
-        todo = spark.createDataFrame([(s,) for s in shards], "s int").repartition(len(shards))
-        todo.mapInArrow(trimmed(write_probs), "s int").collect()
-    scratch.drop(words)
-    return model
-
-
-def score_documents(docs: DataFrame, model: BigramModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            for p, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                stats = sharedfiles.read(temporary, f"parents-{s}")
+                start = Grams(root, k, p).pointers
+                start = start.get(np.arange(start.n)).astype(np.int64)
+                count = sharedfiles.read(temporary, f"counts-{p}")["c"]
+                total = np.repeat(stats["total"], np.diff(start))
+                share = (count - discounts[np.minimum(count, 3) - 1]) / total
+                sharedfiles.write(root, f"probs-{k}-{p}", _quantised(np.log10(share)))
+                if first[p] == first[cuts[s]]:  # the first piece of these parents that isn't empty
+                    kept = discounts @ np.stack([stats[name] for name in _STATS[1:]])
+                    back = np.where(stats["total"] > 0, kept / np.maximum(stats["total"], 1), 1.0)
+                    sharedfiles.write(root, f"back-{k - 1}-{s}", _quantised(np.log10(back)))
+            release()
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["file"])
+
+    made.select("file", "above").repartition(_width(spark, pieces), "file").mapInArrow(trimmed(weigh), "file bigint").count()
+    path = spark._jvm.org.apache.hadoop.fs.Path(temporary)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return below
+
+
+def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score and score for every row of docs.
 
     base_score sums the add-one unigram log10 of the tokens, score the model's. Null text is empty,
@@ -385,8 +553,8 @@ def score_documents(docs: DataFrame, model: BigramModel, id_col: str = "doc_id",
     return out.withColumnRenamed("id", id_col)
 
 
-def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """Scores every row of docs by the model of those whose id does not hold them out; adds held_out."""
-    model = train(docs.filter(~held_out(id_col)), text_col)
+    model = train(docs.filter(~held_out(id_col)), text_col, order=order)
     out = score_documents(docs, model, id_col, text_col)
     return out.withColumn("held_out", held_out(id_col)).select(id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

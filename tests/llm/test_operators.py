@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from candor.llm import annsearch, bpe, eliasfano, licenses, lm, minhash, mixing, pii, quality, rangejoin, registry, toxicity
+from candor.llm import annsearch, bpe, eliasfano, licenses, lm, lookups, minhash, mixing, pii, quality, rangejoin, registry, sharedfiles, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, class_id string, kept string, size string"
@@ -358,40 +358,73 @@ def test_elias_fano():
         assert (e.find(x) == np.searchsorted(v, x)).all()
 
 
-def test_lm_by_brute_force(docs, odd, monkeypatch):
-    monkeypatch.setattr(lm, "SHARD_TOKENS", 5_000)
-    both = docs.select("doc_id", "text").unionByName(odd.select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))
-    low = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-    texts = [(i, [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(low)), None]) for i, t in both.collect()]
-    out = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
+def brute_lm(texts, order, out):
+    """(rows of score_documents by formula, tokens): n-grams in dictionaries, contexts no longer than the text so far."""
     count, after = collections.Counter(), collections.defaultdict(collections.Counter)
+
+    def contexts(w):
+        padded = [None, *w]
+        for at in range(1, len(padded)):
+            yield padded[at], [tuple(padded[at - k : at]) for k in range(1, order) if at >= k]
+
     for i, w in texts:
         if not out(i):
             count.update(w)
-            for u, v in zip([None, *w[:-1]], w, strict=True):
-                after[u][v] += 1
+            for v, before in contexts(w):
+                for u in before:
+                    after[u][v] += 1
     n, size = sum(count.values()), len(count)
-    of = collections.Counter(c for m in after.values() for c in m.values())
-    y = of[1] / (of[1] + 2 * of[2])
-    off = [k - (k + 1) * y * of[k + 1] / max(1, of[k]) for k in (1, 2, 3)]
-    off = [min(max(d, 0.05 * k), 0.99 * k) for k, d in enumerate(off, 1)]
+    off = {}
+    for k in range(1, order):
+        of = collections.Counter(c for u, m in after.items() if len(u) == k for c in m.values())
+        y = of[1] / max(1, of[1] + 2 * of[2])
+        d = [j - (j + 1) * y * of[j + 1] / max(1, of[j]) for j in (1, 2, 3)]
+        off[k] = [min(max(x, 0.05 * j), 0.99 * j) for j, x in enumerate(d, 1)]
     want = []
     for i, w in texts:
         base = own = 0.0
-        for u, v in zip([None, *w[:-1]], w, strict=True):
+        for v, before in contexts(w):
             p = (count[v] + 1) / (n + size + 1)
             base += math.log10(p)
-            m = after.get(u)
-            if m:
-                total = sum(m.values())
-                p *= sum(off[min(c, 3) - 1] for c in m.values()) / total
-                p += max(0.0, m[v] - off[min(m[v], 3) - 1]) / total if v in m else 0.0
+            for u in before:
+                if u in after:
+                    m, d = after[u], off[len(u)]
+                    total = sum(m.values())
+                    p *= sum(d[min(c, 3) - 1] for c in m.values()) / total
+                    p += (m[v] - d[min(m[v], 3) - 1]) / total if v in m else 0.0
             own += math.log10(p)
         want.append((i, out(i), len(w), sum(v in count for v in w), n, base, own))
-    got = sorted((tuple(r) for r in lm.train_and_score(both).collect()), key=repr)
+    return want
+
+
+@pytest.mark.parametrize(("order", "shard"), [(1, 5_000), (2, 5_000), (3, 5_000), (3, 500), (4, 2_000), (3, 2_000_000)])
+def test_lm_by_brute_force(spark, docs, odd, monkeypatch, order, shard):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", shard)
+    monkeypatch.setattr(lm, "BUFFER", 20_000)
+    both = docs.select("doc_id", "text").unionByName(odd.select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))
+    # a context that dominates: its followers have to be cut into several pieces
+    hot = [(2 * 10**6 + i, " ".join(f"hot f{i}x{j}" for j in range(100))) for i in range(60)]
+    both = both.unionByName(spark.createDataFrame(hot, "doc_id bigint, text string"))
+    low = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+    texts = [(i, [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(low)), None]) for i, t in both.collect()]
+    out = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
+    want = brute_lm(texts, order, out)
+    got = sorted((tuple(r) for r in lm.train_and_score(both, order=order).collect()), key=repr)
     for g, w in zip(got, sorted(want, key=repr), strict=True):
         assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], rel=1e-9) and abs(g[6] - w[6]) <= 0.05 * w[2]
-    assert lm.train_and_score(both.limit(0)).count() == 0
+
+
+def test_lm_of_nothing(docs):
+    assert lm.train_and_score(docs.limit(0)).count() == 0
+    nothing = lm.train(docs.limit(0))
+    assert {r.n_known for r in lm.score_documents(docs.limit(5), nothing).collect()} == {0}
+
+
+def test_lm_refuses_keys_beyond_64_bits(tmp_path):
+    sharedfiles.write(str(tmp_path), "first-1", {"id": np.array([0, 1 << 40], np.int64)})
+    sharedfiles.write(str(tmp_path), "cuts-2", {"piece": np.array([0, 4], np.int64)})
+    with pytest.raises(ValueError, match="64 bits"):
+        lm.keys_of(lm.Trie(str(tmp_path)), 2, np.array([1 << 30]), np.array([7]))
 
 
 def test_quality_keeps_good_documents(spark, docs, odd):
