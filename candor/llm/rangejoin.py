@@ -1,19 +1,20 @@
 """Embedding near-duplicates by an exact metric range join.
 
 Unit vectors of one label with cosine ``c`` or more lie within ``r = sqrt(2 - 2c)`` of each other.
-Pivots, a bounded sample of each label's vectors, partition its vectors by the nearest pivot. By the
-triangle inequality a vector within r of a member of a cell is at most the cell's radius plus r from
-its pivot, and at most 2r farther from it than from its own pivot; vectors for which both hold are
-replicated into the cell. So every partner of a cell's own members is in the cell, and cells are
-joined independently: own members against all, in blocks of bounded size. Blocks give counts and a
-spanning forest of their links, not the links, and components come from the forests.
+Pivots, a hash sample of one for each CELL vectors of a label, partition its vectors by the nearest
+pivot. By the triangle inequality a vector within r of a member of a cell is at most the cell's radius
+plus r from its pivot, and at most 2r farther from it than from its own pivot; vectors for which both
+hold are replicated into the cell. So every partner of a cell's own members is in the cell, and cells
+are joined independently: own members against all, in blocks of bounded size, so a vector moves once
+for each BLOCK vectors that it is compared with. Blocks give counts and a spanning forest of their
+links, not the links, and components come from the forests.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candor.llm.components import connected_components
@@ -21,35 +22,56 @@ from candor.llm.scratch import Scratch
 from candor.llm.vectors import matrix, unit, usable
 from candor.llm.workers import bound_batches, release, trimmed
 
-#: Pivots of each label, at most; they and the cells' radii are all that executors get besides rows.
-PIVOTS = 16
-#: Vectors for each pivot, about, until PIVOTS are reached.
-CELL = 4_000
-#: Labels that get pivots of their own; further labels have one cell each.
-LABELS = 1_000
-#: Members on each side of a block.
-BLOCK = 1_024
+#: Vectors for each pivot, about. Pivots and the cells' sizes and radii are all that executors get besides rows.
+CELL = 16_384
+#: Members on each side of a block, and rows of it that are compared at once.
+BLOCK, STRIPE = 16_384, 256
 #: Distances come from inner products; their rounding error is below this.
 _SLACK = 1e-6
 
 
 def _pivots(vectors: DataFrame) -> dict:
-    """Label to its pivots' unit vectors, one for about CELL rows: the first of a hash sample of four times as many."""
-    sizes = vectors.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LABELS)
-    sizes = [(label, min(PIVOTS, -(-n // CELL)), n) for label, n in sizes.collect()]
-    out = {}
-    many = [(label, k, n) for label, k, n in sizes if k > 1]
-    if many:
-        wanted = F.create_map(*[F.lit(v) for label, k, n in many for v in (label, 4.0 * k / n)])
-        place = F.xxhash64("vec_id").bitwiseAND(F.lit(2**63 - 1)) / F.lit(2.0**63)
-        few = vectors.filter(F.col("label").isin([label for label, _, _ in many])).filter(place < wanted[F.col("label")])
-        tops = few.groupBy("label").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("vec_id"), "embedding"))).alias("top"))
-        most = {label: k for label, k, _ in many}
-        for row in tops.collect():
-            width = len(row["top"][0]["embedding"])
-            found = [t["embedding"] for t in row["top"] if len(t["embedding"]) == width][: most[row["label"]]]
-            out[row["label"]] = unit(np.array(found, np.float64))
-    return {label: p for label, p in out.items() if len(p) > 1}
+    """(label, width) to its pivots' unit vectors: of labels of more than CELL vectors a hash sample of one for each CELL."""
+    sizes = vectors.groupBy("label", "width").agg(F.count("*").alias("n")).filter(F.col("n") > CELL)
+    wanted = sizes.select(F.col("label").alias("l"), F.col("width").alias("w"), F.ceil(F.col("n") / CELL).alias("k"), (F.lit(4.0) * F.ceil(F.col("n") / CELL) / F.col("n")).alias("share"))
+    place = F.xxhash64("vec_id").bitwiseAND(F.lit(2**63 - 1)) / F.lit(2.0**63)
+    few = vectors.join(F.broadcast(wanted), (F.col("label") == F.col("l")) & (F.col("width") == F.col("w"))).filter(place < F.col("share"))
+    turn = F.row_number().over(Window.partitionBy("label", "width").orderBy(F.xxhash64("vec_id"), "vec_id"))
+    chosen: dict = {}
+    for row in few.withColumn("turn", turn).filter("turn <= k").select("label", "width", "embedding").orderBy("label", "width", "turn").collect():
+        chosen.setdefault((row["label"], row["width"]), []).append(row["embedding"])
+    return {key: unit(np.array(rows, np.float64)) for key, rows in chosen.items() if len(rows) > 1}
+
+
+def _gaps(x: np.ndarray, pivots: np.ndarray):
+    """(rows, distances to all pivots) of some unit vectors at a time."""
+    step = max(1, (1 << 22) // len(pivots))
+    for lo in range(0, len(x), step):
+        yield slice(lo, min(len(x), lo + step)), np.sqrt(np.maximum(0.0, 2 - 2 * (x[lo : lo + step] @ pivots.T)))
+
+
+def _by_pivots(batch: pa.RecordBatch, pivots: dict):
+    """(rows, unit vectors, pivots) of the rows of a batch (label, embedding, ..., width) whose label has pivots."""
+    labels, widths = np.array(batch.column(0).to_pylist(), object), np.asarray(batch.column(batch.num_columns - 1))
+    for label, width in {(x, w) for x, w in zip(labels, widths.tolist(), strict=True)} & set(pivots):
+        rows = np.flatnonzero((labels == label) & (widths == width))
+        yield rows, unit(matrix(batch.column(1).take(pa.array(rows)))), pivots[label, width]
+
+
+class Forest:
+    """Components of 0..n-1 under links that come in arrays; each is known by its smallest member."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            a, b = self.parent[a], self.parent[b]
+            open_ = a != b
+            a, b = a[open_], b[open_]
+            np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
+            while (self.parent[self.parent] != self.parent).any():
+                self.parent = self.parent[self.parent]
 
 
 def range_join(
@@ -77,79 +99,87 @@ def range_join(
     groups = scratch.save(groups.withColumn("width", F.size("embedding")), "groups")
     pivots = _pivots(groups)
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
+    shared = spark.sparkContext.broadcast(pivots)
+    ordered = groups.select("label", "embedding", "vec_id", "n", "width")
+    vector_kind = dict(groups.dtypes)["embedding"]
 
     def home(batches):
         for b in batches:
-            labels, x, widths = np.array(b.column(0).to_pylist(), object), b.column(1), np.asarray(b.column(4))
-            cells, all_gaps = np.zeros(len(labels), np.int32), [[0.0]] * len(labels)
-            for label in set(labels) & set(pivots):
-                p = pivots[label]
-                rows = np.flatnonzero((labels == label) & (widths == p.shape[1]))
-                u = unit(matrix(x.take(pa.array(rows)))) if len(rows) else np.zeros((0, p.shape[1]))
-                d = np.sqrt(np.maximum(0.0, 2 - 2 * (u @ p.T)))
-                cells[rows] = d.argmin(1) if len(rows) else 0
-                for k, r in enumerate(rows):
-                    all_gaps[r] = d[k].tolist()
-            columns = [b.column(i) for i in range(b.num_columns)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(cells, pa.int32()), pa.array(all_gaps, pa.list_(pa.float64()))], [*b.schema.names, "cell", "gaps"])
-
-    placed = groups.select("label", "embedding", "vec_id", "n", "width").mapInArrow(
-        trimmed(home), f"label {label_kind}, embedding {dict(groups.dtypes)['embedding']}, vec_id {kind}, n bigint, width int, cell int, gaps array<double>"
-    )
-    placed = scratch.save(placed, "placed")
-    # a label's cells: own members, radius; bounded by LABELS * PIVOTS, plus one for each further label
-    cells = placed.groupBy("label", "width", "cell").agg(F.count("*").alias("own"), F.max(F.element_at("gaps", F.col("cell") + 1)).alias("radius"))
-    cells = scratch.save(cells, "cells")
-    near = F.element_at("gaps", F.col("cell") + 1)
-    each = placed.select("*", F.posexplode("gaps").alias("to", "gap")).join(
-        cells.select(F.col("label").alias("l"), F.col("width").alias("w"), F.col("cell").alias("c"), "own", "radius"),
-        (F.col("label") == F.col("l")) & (F.col("width") == F.col("w")) & (F.col("to") == F.col("c")),
-    )
-    mine = F.col("to") == F.col("cell")
-    inside = mine | ((F.col("gap") <= F.col("radius") + reach + _SLACK) & (F.col("gap") <= near + 2 * reach + _SLACK))
-    each = scratch.save(each.filter(inside).select("label", "width", "to", "vec_id", "n", "embedding", "own", mine.alias("mine")), "each")
-    everyone = scratch.save(each.groupBy("label", "width", "to").agg(F.count("*").alias("all")), "all")
-    each = each.join(everyone, ["label", "width", "to"])
+            cell, gap = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows)
+            for rows, x, p in _by_pivots(b, shared.value):
+                for part, d in _gaps(x, p):
+                    cell[rows[part]], gap[rows[part]] = d.argmin(1), d.min(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(4), pa.array(cell), pa.array(gap)], ["label", "width", "cell", "gap"])
+
+    cells = ordered.mapInArrow(trimmed(home), f"label {label_kind}, width int, cell int, gap double")
+    cells = scratch.save(cells.groupBy("label", "width", "cell").agg(F.count("*").alias("own"), F.max("gap").alias("radius")), "cells")
+    radii: dict = {}
+    many = cells.filter(F.col("cell") > 0).select("label", "width").distinct()  # only cells of labels with pivots come to the driver
+    for row in cells.join(F.broadcast(many), ["label", "width"]).collect():
+        radii.setdefault((row["label"], row["width"]), {})[row["cell"]] = row["radius"]
+    bounds = {key: np.array([radii.get(key, {}).get(c, -np.inf) for c in range(len(p))]) for key, p in pivots.items()}
+    edges = spark.sparkContext.broadcast(bounds)
+
+    def replicate(batches):
+        """Rows of every cell that may hold a partner of a vector, its own among them."""
+        for b in batches:
+            found, to, mine = [np.arange(b.num_rows)], [np.zeros(b.num_rows, np.int64)], [np.ones(b.num_rows, bool)]
+            labels, widths = np.array(b.column(0).to_pylist(), object), np.asarray(b.column(4))
+            for rows, x, p in _by_pivots(b, shared.value):
+                radius = edges.value[labels[rows[0]], int(widths[rows[0]])]
+                found[0] = np.setdiff1d(found[0], rows)
+                for part, d in _gaps(x, p):
+                    near = d.min(1)[:, None]
+                    inside = (d <= radius + reach + _SLACK) & (d <= near + 2 * reach + _SLACK)
+                    own = d.argmin(1)
+                    inside[np.arange(len(d)), own] = True
+                    i, c = np.nonzero(inside)
+                    found.append(rows[part][i])
+                    to.append(c)
+                    mine.append(own[i] == c)
+            to[0], mine[0] = to[0][: len(found[0])], mine[0][: len(found[0])]
+            rows = pa.array(np.concatenate(found))
+            columns = [b.column(i).take(rows) for i in (0, 4, 2, 3, 1)]
+            yield pa.RecordBatch.from_arrays(
+                [columns[0], columns[1], pa.array(np.concatenate(to).astype(np.int32)), columns[2], columns[3], columns[4], pa.array(np.concatenate(mine))],
+                ["label", "width", "to", "vec_id", "n", "embedding", "mine"],
+            )
+
+    each = ordered.mapInArrow(trimmed(replicate), f"label {label_kind}, width int, to int, vec_id {kind}, n bigint, embedding {vector_kind}, mine boolean")
+    # how many blocks a cell has on each side; vectors themselves move only once that is known
+    size = each.groupBy("label", "width", "to").agg(F.sum(F.col("mine").cast("int")).alias("own"), F.count("*").alias("all"))
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    at = lambda c: F.pmod(F.xxhash64("vec_id"), blocks(c)).cast("int")
-    steps = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
-    columns = ["label", "width", "to", "vec_id", "n", "embedding"]
-    left = each.filter("mine").select(*columns, F.lit(True).alias("left"), at("own").alias("i"), steps("all").alias("j"))
-    right = each.select(*columns, F.lit(False).alias("left"), steps("own").alias("i"), at("all").alias("j"))
+    size = scratch.save(size.filter("own > 0").select("label", "width", "to", blocks("own").alias("ni"), blocks("all").alias("nj")), "blocks")
+    placed = each.join(size, ["label", "width", "to"])
+    at = lambda c: F.pmod(F.xxhash64("vec_id"), F.col(c)).cast("int")
+    steps = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    cell_of = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
+    left = F.when(F.col("mine"), F.transform(steps("nj"), lambda j: cell_of(at("ni"), j, True)))
+    right = F.transform(steps("ni"), lambda i: cell_of(i, at("nj"), False))
+    placed = placed.withColumn("cell", F.explode(F.when(F.col("mine"), F.concat(left, right)).otherwise(right)))
+    placed = placed.select("label", "width", "to", "vec_id", "n", "embedding", "cell.*")
 
     def compare(table: pa.Table) -> pa.Table:
-        side = np.asarray(table["left"])
-        ids = table["vec_id"].to_pylist()
-        times = np.asarray(table["n"])
+        side, times = np.asarray(table["left"]), np.asarray(table["n"])
+        ids, node = np.unique(table["vec_id"].to_numpy(), return_inverse=True)
         x = unit(matrix(table["embedding"]))
         rows, cols = np.flatnonzero(side), np.flatnonzero(~side)
-        parent: dict = {}
-
-        def top(v):
-            while parent.get(v, v) != v:
-                parent[v] = v = parent.get(parent[v], parent[v])
-            return v
-
-        near = (x[rows] @ x[cols].T) >= cosine if len(rows) and len(cols) else np.zeros((len(rows), len(cols)), bool)
-        links = near @ times[cols] if len(cols) else np.zeros(len(rows), np.int64)
-        a, b, n = [], [], []
-        for k, r in enumerate(rows):
-            own = top(ids[r])
-            a.append(ids[r])
-            b.append(ids[r])
-            n.append(int(links[k]))
-            for m in cols[near[k]]:
-                other = top(ids[m])
-                if other != own:
-                    parent[other] = own
-                    a.append(ids[r])
-                    b.append(ids[m])
-                    n.append(0)
+        forest, links = Forest(len(ids)), np.zeros(len(rows), np.int64)
+        for lo in range(0, len(rows) if len(cols) else 0, STRIPE):
+            some = rows[lo : lo + STRIPE]
+            near = x[some] @ x[cols].T >= cosine
+            links[lo : lo + STRIPE] = near @ times[cols]
+            i, j = np.nonzero(near)
+            forest.add(node[some[i]], node[cols[j]])
+        hooked = np.flatnonzero(forest.parent != np.arange(len(ids)))
+        a = np.concatenate([node[rows], hooked])
+        b = np.concatenate([node[rows], forest.parent[hooked]])
+        n = np.concatenate([links, np.zeros(len(hooked), np.int64)])
         id_type = table["vec_id"].type
         release()
-        return pa.table({"a": pa.array(a, id_type), "b": pa.array(b, id_type), "n": pa.array(n, pa.int64())})
+        return pa.table({"a": pa.array(ids[a], id_type), "b": pa.array(ids[b], id_type), "n": pa.array(n)})
 
-    found = left.unionByName(right).groupBy("label", "width", "to", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}, n bigint")
+    found = placed.groupBy("label", "width", "to", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}, n bigint")
     found = scratch.save(found, "found")
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     links = scratch.save(links, "links")
