@@ -398,6 +398,12 @@ def _plan(files: DataFrame, root: str, level: int, number: int) -> tuple[int, in
     return (row["nodes"], row["pieces"]) if row else (0, 0)
 
 
+def _stats(parent: np.ndarray, count: np.ndarray, parents: int) -> dict[str, np.ndarray]:
+    """_STATS of parents by the counts of their followers."""
+    of = [np.bincount(parent[chosen], minlength=parents) for chosen in (count == 1, count == 2, count >= 3)]
+    return dict(zip(_STATS, [np.bincount(parent, count, parents).astype(np.int64), *of], strict=True))
+
+
 def _add_level(scratch: Scratch, texts: DataFrame, root: str, k: int, pieces: int) -> int:
     """Counts the n-grams of order k and writes level k of the trie; returns the pieces of the level below."""
     spark = texts.sparkSession
@@ -457,18 +463,15 @@ def _add_level(scratch: Scratch, texts: DataFrame, root: str, k: int, pieces: in
         for name, values in (("pointer", start.astype(U)), ("follower", word + base[parent])):
             arrays |= {f"{name}_{part}": a for part, a in eliasfano.build(values).items()}
         sharedfiles.write(root, f"grams-{k}-{p}", arrays)
-        sharedfiles.write(temporary, f"counts-{p}", {"c": count})
-        stats = [np.bincount(parent, count, parents).astype(np.int64)]
-        stats += [np.bincount(parent[chosen], minlength=parents) for chosen in (count == 1, count == 2, count >= 3)]
-        some = np.zeros(0, np.int64)
-        if cuts[s + 1] - cuts[s] == 1:
-            sharedfiles.write(temporary, f"parents-{s}", dict(zip(_STATS, stats, strict=True)))
-        else:  # what other pieces know of these parents has to be added
-            some = filled
+        many = np.flatnonzero(count >= 255)
+        sharedfiles.write(temporary, f"counts-{p}", {"few": np.minimum(count, 255).astype(np.uint8), "many": many, "times": count[many]})
+        # of parents that have several pieces, what each piece knows has to be added
+        some = filled if cuts[s + 1] - cuts[s] > 1 else np.zeros(0, np.int64)
+        stats = _stats(parent, count, parents) if len(some) else dict.fromkeys(_STATS, some)
         release()
         of = np.bincount(np.minimum(count, 5), minlength=6)[1:5]
         row = {"file": p, "n": len(key), "tokens": int(count.sum()), "of": of.tolist(), "above": s, "at": some.tolist()}
-        row |= {name: x[some].tolist() for name, x in zip(_STATS, stats, strict=True)}
+        row |= {name: stats[name][some].tolist() for name in _STATS}
         return pa.Table.from_pylist([row], _FILE)
 
     def write_parents(table: pa.Table) -> pa.Table:
@@ -502,12 +505,15 @@ def _add_level(scratch: Scratch, texts: DataFrame, root: str, k: int, pieces: in
         first, cuts = trie.first(k), trie.cuts(k)
         for batch in batches:
             for p, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                stats = sharedfiles.read(temporary, f"parents-{s}")
                 start = Grams(root, k, p).pointers
                 start = start.get(np.arange(start.n)).astype(np.int64)
-                count = sharedfiles.read(temporary, f"counts-{p}")["c"]
-                total = np.repeat(stats["total"], np.diff(start))
-                share = (count - discounts[np.minimum(count, 3) - 1]) / total
+                parent = np.repeat(np.arange(len(start) - 1), np.diff(start))
+                counts = sharedfiles.read(temporary, f"counts-{p}")
+                count = counts["few"].astype(np.int64)
+                count[counts["many"]] = counts["times"]
+                split = cuts[s + 1] - cuts[s] > 1
+                stats = sharedfiles.read(temporary, f"parents-{s}") if split else _stats(parent, count, len(start) - 1)
+                share = (count - discounts[np.minimum(count, 3) - 1]) / stats["total"][parent]
                 sharedfiles.write(root, f"probs-{k}-{p}", _quantised(np.log10(share)))
                 if first[p] == first[cuts[s]]:  # the first piece of these parents that isn't empty
                     kept = discounts @ np.stack([stats[name] for name in _STATS[1:]])
