@@ -77,6 +77,41 @@ class EliasFano:
         high = self._select(i, self.ones, False) - i
         return high.astype(U) << U(self.width) | self.low(i)
 
+    def ranges(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers at positions i and i + 1; the second one's bit is mostly in the same word as the first one's."""
+        if not len(i):
+            return np.zeros(0, U), np.zeros(0, U)
+        bit = self._select(i, self.ones, False)
+        rest = (self.high[bit >> 6] >> (bit & 63).astype(U)) >> U(1)
+        after = bit + 1 + np.bitwise_count((rest & (~rest + U(1))) - U(1))
+        far = np.flatnonzero(rest == 0)
+        after[far] = self._select(i[far] + 1, self.ones, False)
+        width = U(self.width)
+        return (bit - i).astype(U) << width | self.low(i), (after - i - 1).astype(U) << width | self.low(i + 1)
+
+    def find_between(self, x: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The place of each x among positions first <= i < end, -1 where it is not there; by halving short ranges."""
+        out = np.full(len(x), -1, np.int64)
+        wide = np.flatnonzero(end - first > 4)
+        if len(wide):
+            at = np.maximum(self.find(x[wide]), first[wide])  # the range before may end with x
+            seen = at < end[wide]
+            seen[seen] = self.get(at[seen]) == x[wide[seen]]
+            out[wide[seen]] = at[seen]
+        live = np.flatnonzero((end > first) & (end - first <= 4))
+        lo, hi = first.copy(), end.copy()
+        while len(live):
+            middle = (lo[live] + hi[live]) >> 1
+            value = self.get(middle)
+            here = value == x[live]
+            out[live[here]] = middle[here]
+            less = value < x[live]
+            lo[live[less]] = middle[less] + 1
+            hi[live[~less]] = middle[~less]
+            live = live[~here]
+            live = live[lo[live] < hi[live]]
+        return out
+
     def find(self, x: np.ndarray) -> np.ndarray:
         """The position of the successor of each x, the first number not less; n if there is none.
 

@@ -41,7 +41,7 @@ ORDER = 3
 END = U(0x5EED0FE2D0FA11ED)
 SHARD_TOKENS = 2_000_000
 #: Tokens that a task combines before it hands their counts on.
-BUFFER = 2_000_000
+BUFFER = 1_000_000
 #: Bytes of text that are looked up together.
 CHUNK = 1 << 22
 #: Files of each kind that a worker holds open: mapped ones, and ones read into memory.
@@ -127,8 +127,7 @@ class Grams:
 
     def sections(self, parents: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first, end, base) of the ranges of parents."""
-        bounds = self.pointers.get(np.concatenate([parents, parents + 1])).astype(np.int64)
-        first, end = bounds[: len(parents)], bounds[len(parents) :]
+        first, end = (b.astype(np.int64) for b in self.pointers.ranges(parents))
         base = np.zeros(len(parents), U)
         later = first > 0
         base[later] = self.followers.get(first[later] - 1)
@@ -137,12 +136,8 @@ class Grams:
     def places(self, parents: np.ndarray, words: np.ndarray) -> np.ndarray:
         """The place of each (parent, word), -1 where there is none; parents in order."""
         each, at = np.unique(parents, return_inverse=True)
-        _, end, base = self.sections(each)
-        x = base[at] + words.astype(U)
-        place = self.followers.find(x)
-        seen = place < end[at]
-        seen[seen] = self.followers.get(place[seen]) == x[seen]
-        return np.where(seen, place, -1)
+        first, end, base = self.sections(each)
+        return self.followers.find_between(base[at] + words.astype(U), first[at], end[at])
 
 
 class Trie:

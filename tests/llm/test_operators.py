@@ -417,6 +417,16 @@ def test_elias_fano():
         assert (e.get(at) == v[at]).all()
         x = np.concatenate([v, rng.integers(0, top + 2, 500).astype(np.uint64)])
         assert (e.find(x) == np.searchsorted(v, x)).all()
+        if n > 1:
+            at = np.sort(rng.integers(0, n - 1, 400))
+            first, second = e.ranges(at)
+            assert (first == v[at]).all() and (second == v[at + 1]).all()
+            d = eliasfano.EliasFano(eliasfano.build(np.unique(v)))
+            lo = rng.integers(0, d.n, 400)
+            hi = np.minimum(d.n, lo + rng.integers(0, 9, 400))
+            x = np.where(rng.random(400) < 0.5, np.unique(v)[np.clip(lo + rng.integers(-1, 9, 400), 0, d.n - 1)], rng.integers(0, top + 1, 400).astype(np.uint64))
+            want = [next((k for k in range(a, b) if np.unique(v)[k] == y), -1) for a, b, y in zip(lo, hi, x, strict=True)] if n <= 1000 else None
+            assert want is None or d.find_between(x, lo, hi).tolist() == want
 
 
 def brute_lm(texts, order, out):
