@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
-BINS = 32
+# The spectrum's side, rings and floor of power; error levels: JPEG quality, share of the side that a mean
+# spans, least span, floor of the median, percentile, middle and width of its score, ratios of no heat and of full heat.
+SIDE, BINS, POWER_FLOOR = 256, 32, 1e-8
+ELA_QUALITY, ELA_SPANS, ELA_LEAST, ELA_FLOOR, ELA_RANK, ELA_MIDDLE, ELA_WIDTH, ELA_RANGE = 90, 24, 3, 1e-3, 99, 5.0, 0.8, (1.0, 4.0)
 # The standard luminance and chrominance quantisation tables of JPEG (quality 50).
 LUMA = np.array([
     [16, 11, 10, 16, 24, 40, 51, 61], [12, 12, 14, 19, 26, 58, 60, 55], [14, 13, 16, 24, 40, 57, 69, 56], [14, 17, 22, 29, 51, 87, 80, 62],
@@ -21,30 +24,56 @@ def luma(rgb: np.ndarray) -> np.ndarray:
     return rgb.astype(np.float64) @ np.array([0.299, 0.587, 0.114])
 
 
-def resize(a: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Bilinear."""
-    y = np.clip((np.arange(height) + 0.5) * a.shape[0] / height - 0.5, 0, a.shape[0] - 1)
-    x = np.clip((np.arange(width) + 0.5) * a.shape[1] / width - 0.5, 0, a.shape[1] - 1)
-    y0, x0 = y.astype(int), x.astype(int)
-    y1, x1 = np.minimum(y0 + 1, a.shape[0] - 1), np.minimum(x0 + 1, a.shape[1] - 1)
-    fy, fx = y - y0, x - x0
-    if a.ndim == 3:
-        fy, fx = fy[:, None, None], fx[None, :, None]
-    else:
-        fy, fx = fy[:, None], fx[None, :]
-    top = a[y0][:, x0] * (1 - fx) + a[y0][:, x1] * fx
-    return top * (1 - fy) + (a[y1][:, x0] * (1 - fx) + a[y1][:, x1] * fx) * fy
-
-
-def spectrum(rgb: np.ndarray) -> np.ndarray:
-    """Log power of the windowed 256 x 256 luma by 32 rings of frequency, relative to the innermost."""
-    g = resize(luma(rgb), 256, 256)
-    w = np.hanning(256)
-    power = np.log(np.abs(np.fft.fftshift(np.fft.fft2((g - g.mean()) * np.outer(w, w)))) ** 2 + 1e-8)
-    d = np.hypot(*np.meshgrid(np.arange(256) - 128, np.arange(256) - 128, indexing="ij"))
-    ring = np.minimum((d / 128 * BINS).astype(int), BINS - 1).ravel()
-    mean = np.bincount(ring, power.ravel(), BINS) / np.maximum(np.bincount(ring, minlength=BINS), 1)
-    return mean - mean[0]
+def _linear(t: np.ndarray) -> np.ndarray:
+    return np.maximum(0.0, 1 - np.abs(t))
+
+
+def _cubic(t: np.ndarray) -> np.ndarray:
+    """Keys' interpolation kernel for a = -1/2."""
+    t = np.abs(t)
+    inner, outer = (1.5 * t - 2.5) * t * t + 1, ((-0.5 * t + 2.5) * t - 4) * t + 2
+    return np.where(t < 1, inner, np.where(t < 2, outer, 0.0))
+
+
+def _weights(of: int, to: int, kernel) -> np.ndarray:
+    """(to, of): what each input adds to each output; where an axis shrinks, the kernel is as much wider."""
+    wide = max(1.0, of / to)
+    centre = (np.arange(to) + 0.5) * of / to - 0.5
+    w = kernel((np.arange(of) - centre[:, None]) / wide)
+    return w / w.sum(1, keepdims=True)
+
+
+def resize(a: np.ndarray, height: int, width: int, cubic: bool = False) -> np.ndarray:
+    """Bilinear or bicubic, weighted over the area that an output pixel covers."""
+    kernel = _cubic if cubic else _linear
+    rows = np.tensordot(_weights(a.shape[0], height, kernel), a, 1)
+    return np.moveaxis(np.tensordot(_weights(a.shape[1], width, kernel), rows, (1, 1)), 0, 1)
+
+
+def _half_plane() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, first, share) of the cells of a real transform: by ring, where rings begin, each cell's share of its ring's mean.
+
+    A real image's spectrum is symmetric, so all columns but the first and the last count twice.
+    """
+    y, x = np.fft.fftfreq(SIDE, 1 / SIDE)[:, None], np.arange(SIDE // 2 + 1)
+    ring = np.minimum(np.hypot(y, x) * BINS // (SIDE // 2), BINS - 1).astype(int).ravel()
+    times = np.broadcast_to(np.where((x == 0) | (x == SIDE // 2), 1.0, 2.0), (SIDE, len(x))).ravel()
+    order = np.argsort(ring, kind="stable")
+    share = times / np.bincount(ring, times)[ring]
+    return order, np.searchsorted(ring[order], np.arange(BINS)), share[order]
+
+
+_ORDER, _FIRST, _SHARE = _half_plane()
+_TAPER = np.multiply.outer(np.hanning(SIDE), np.hanning(SIDE))
+
+
+def spectra(images: list[np.ndarray]) -> np.ndarray:
+    """(images, BINS): the mean log power of each ring of frequencies, less that of the innermost one."""
+    planes = np.stack([resize(luma(x), SIDE, SIDE, cubic=True) for x in images])
+    waves = np.fft.rfft2((planes - planes.mean((1, 2), keepdims=True)) * _TAPER).reshape(len(images), -1)
+    power = np.log(waves.real**2 + waves.imag**2 + POWER_FLOOR)
+    rings = np.add.reduceat(power[:, _ORDER] * _SHARE, _FIRST, axis=1)
+    return rings - rings[:, :1]
 
 
 def tables(quality: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,13 +116,20 @@ def box_mean(a: np.ndarray, size: int) -> np.ndarray:
     return (s[size:, size:] - s[:-size, size:] - s[size:, :-size] + s[:-size, :-size]) / size**2
 
 
-def error_levels(rgb: np.ndarray, quality: int = 90) -> tuple[np.ndarray, float]:
-    """(heat in 0..1, score) of the difference to a JPEG of the image, smoothed and relative to its median."""
-    diff = np.abs(jpeg(rgb, quality).astype(np.float64) - rgb).mean(-1)
-    smooth = box_mean(diff, max(3, min(diff.shape) // 24))
-    ratio = smooth / (np.median(smooth) + 1e-3)
-    score = 1 / (1 + np.exp(-(np.percentile(ratio, 99) - 5.0) / 0.8))
-    return np.clip((ratio - 1) / 3, 0, 1), float(score)
+def error_ratio(rgb: np.ndarray) -> np.ndarray:
+    """How much more than usual in this image its surroundings lose at each place by one more JPEG."""
+    lost = np.abs(np.subtract(jpeg(rgb, ELA_QUALITY), rgb, dtype=np.float64)).mean(-1)
+    around = box_mean(lost, max(ELA_LEAST, min(lost.shape) // ELA_SPANS))
+    return around / (np.median(around) + ELA_FLOOR)
+
+
+def error_peak(rgb: np.ndarray) -> float:
+    """The ratio that one place in a hundred exceeds; scores.ela_score makes a score of it."""
+    return float(np.percentile(error_ratio(rgb), ELA_RANK))
+
+
+def error_heat(rgb: np.ndarray) -> np.ndarray:
+    return np.interp(error_ratio(rgb), ELA_RANGE, (0.0, 1.0))
 
 
 def downscale(rgb: np.ndarray, factor: float = 0.5) -> np.ndarray:
@@ -109,7 +145,7 @@ def contrast(rgb: np.ndarray) -> float:
 def crop(rgb: np.ndarray, box: tuple[int, int, int, int], side: int = 224) -> np.ndarray:
     """The part of an image in (x0, y0, x1, y1), resized to a square, after one JPEG round trip that levels out file formats."""
     x0, y0, x1, y1 = box
-    part = resize(rgb[y0:y1, x0:x1].astype(np.float64), side, side)
+    part = resize(rgb[y0:y1, x0:x1].astype(np.float64), side, side, cubic=True)
     return jpeg(np.clip(np.round(part), 0, 255).astype(np.uint8), 75)
 
 
@@ -126,7 +162,7 @@ def splice(rgb: np.ndarray, seed: int) -> np.ndarray:
 
 
 #: Scores of an image that need no trained model; the others are columns made by operators.learning.
-SCORERS = {"dummy": contrast, "ela": lambda x: error_levels(x)[1]}
+SCORERS = {"dummy": contrast, "ela": lambda x: float(1 / (1 + np.exp((ELA_MIDDLE - error_peak(x)) / ELA_WIDTH)))}
 
 
 def _unavailable(name: str):

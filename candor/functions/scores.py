@@ -74,6 +74,11 @@ def confidence_level(score: Column, expected: Column, reason: Column) -> Column:
     return F.when(expected == 0, "none").when(F.coalesce(reason, F.lit("")) != "", "low").otherwise(level)
 
 
+# Fixed value: the reason where no detector has a score.
+NO_DETECTORS = "no trained pixel detectors loaded"
+
+
+# Fixed values in the next function: the reasons, in the order in which they are asked.
 def low_confidence_reason(min_side: Column, spread: Column, inconsistency: Column, p: Column) -> Column:
     """The first reason that applies, or an empty string; null inputs give none."""
     return (
@@ -106,6 +111,19 @@ def verdict(p: Column, declared_ai: Column) -> Column:
     return F.when(declared_ai, "likely_fake").when(p.isNull(), "inconclusive").when(p >= 0.5, "likely_fake").otherwise("likely_real")
 
 
+def judged(
+    scores: list[Column], shift: Column, declared_ai: Column, min_side: Column, inconsistency: Column | None = None, model: Column | None = None, calibration: Column | None = None
+) -> Column:
+    """struct(p, verdict, reason): without any score one half and inconclusive; what a file declares settles the verdict, with no reason to doubt it."""
+    none = F.size(F.filter(F.array(*scores), lambda x: x.isNotNull())) == 0
+    p = F.coalesce(fuse(scores, shift, declared_ai, model, calibration), lit(0.5))
+    spread = F.coalesce(F.greatest(*scores) - F.least(*scores), lit(0)) if len(scores) > 1 else lit(0)
+    doubt = low_confidence_reason(min_side, F.round(spread, 9), lit(0) if inconsistency is None else inconsistency, F.round(p, 9))
+    call = F.when(declared_ai, "likely_fake").when(none, "inconclusive").when(p >= 0.5, "likely_fake").otherwise("likely_real")
+    reason = F.when(declared_ai, "").when(none, NO_DETECTORS).otherwise(doubt)
+    return F.struct(p.alias("p"), call.alias("verdict"), reason.alias("reason"))
+
+
 def audio_verdict(p: Column) -> Column:
     return F.when(F.abs(p - lit(0.5)) < MARGIN, "inconclusive").when(p >= 0.5, "likely_fake").otherwise("likely_real")
 

@@ -7,7 +7,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from candor.functions import kernels
+from candor.functions import scores as sc
 from candor.operators import learning as ml
+from candor.plans.frames import _FUSE, _fused
 from candor.plans.registry import query
 from candor.sources.tables import table
 
@@ -65,12 +67,12 @@ def _ids(spark, sf):
 
 @query()
 def krn3_spectrum(spark, sf):
-    return _rasters(_ids(spark, sf), lambda x: kernels.spectrum(x).tolist(), "array<double>")
+    return _rasters(_ids(spark, sf), lambda x: kernels.spectra([x])[0].tolist(), "array<double>")
 
 
 @query()
 def krn4_ela(spark, sf):
-    return _rasters(_ids(spark, sf), lambda x: kernels.error_levels(x)[1], "double")
+    return _rasters(_ids(spark, sf), kernels.SCORERS["ela"], "double")
 
 
 @query()
@@ -83,13 +85,15 @@ def krn6_downscale(spark, sf):
     return _rasters(_ids(spark, sf), lambda x: float(kernels.downscale(x).mean()), "double")
 
 
-@query()
+@query(f"""WITH {_FUSE}, g AS (SELECT video, round(avg(score), 9) AS p, bool_or(ai) AS ai, round(avg(clip), 9) AS clip, round(avg(freq), 9) AS freq FROM z GROUP BY video)
+SELECT video, round(1 - p, 4) AS authenticity, CASE WHEN ai OR p >= 0.5 THEN 'likely_fake' ELSE 'likely_real' END AS verdict, 'clip,freq' AS names, round(clip, 4) AS clip, round(freq, 4) AS freq FROM g""")
 def snk1_report_json(spark, sf):
-    """One JSON report for each video, null fields left out."""
-    from candor.plans.frames import _fused
-    from candor.functions import scores as sc
-
-    z = _fused(spark, sf).groupBy("video").agg(F.avg("score").alias("p"), F.max("ai").alias("ai"), F.avg("clip").alias("clip"), F.avg("freq").alias("freq"))
+    """What is read back from one JSON report for each video."""
+    mean = lambda c: F.round(F.avg(c), 9).alias(c)
+    z = _fused(spark, sf).groupBy("video").agg(mean("score"), F.max("ai").alias("ai"), mean("clip"), mean("freq"))
     signals = F.array(*[F.struct(F.lit(n).alias("name"), F.round(n, 4).alias("score_fake")) for n in ("clip", "freq")])
-    report = F.struct(F.round("p", 4).alias("authenticity"), sc.verdict(F.col("p"), F.col("ai")).alias("verdict"), signals.alias("signals"))
-    return z.select("video", F.to_json(report).alias("report"))
+    report = F.struct(F.round(1 - F.col("score"), 4).alias("authenticity"), sc.verdict(F.col("score"), F.col("ai")).alias("verdict"), signals.alias("signals"))
+    read = F.from_json(F.to_json(report), "authenticity double, verdict string, signals array<struct<name string, score_fake double>>")
+    r = z.select("video", read.alias("r")).select("video", "r.*")
+    scores = [F.get("signals", F.lit(i))["score_fake"].alias(n) for i, n in enumerate(("clip", "freq"))]
+    return r.select("video", "authenticity", "verdict", F.array_join("signals.name", ",").alias("names"), *scores)

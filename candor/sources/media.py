@@ -96,14 +96,14 @@ def image_features(df: DataFrame, degradation: str = "clean") -> DataFrame:
     def compute(batches):
         for b in batches:
             rows = [b.column(i).to_pylist() for i in range(5)]
-            spectra, ela = [], []
-            for bgr, h, w, c in zip(rows[4], rows[1], rows[2], rows[3], strict=True):
-                x = kernels.DEGRADATIONS[degradation](raster(bgr, h, w, c))
-                spectra.append(kernels.spectrum(x).tolist())
-                ela.append(kernels.error_levels(x)[1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spectra, pa.list_(pa.float64())), pa.array(ela)], ["path", "spectrum", "ela"])
-
-    return df.select("path", "height", "width", "channels", "bgr").mapInArrow(compute, "path string, spectrum array<double>, ela double")
+            for lo in range(0, b.num_rows, 16):
+                some = slice(lo, lo + 16)
+                x = [kernels.DEGRADATIONS[degradation](raster(*r)) for r in zip(rows[4][some], rows[1][some], rows[2][some], rows[3][some], strict=True)]
+                peaks = pa.array([kernels.error_peak(i) for i in x], pa.float64())
+                yield pa.RecordBatch.from_arrays([b.column(0)[some], pa.array(list(kernels.spectra(x)), pa.list_(pa.float64())), peaks], ["path", "spectrum", "peak"])
+
+    found = df.select("path", "height", "width", "channels", "bgr").mapInArrow(compute, "path string, spectrum array<double>, peak double")
+    return found.select("path", "spectrum", sc.ela_score(F.col("peak")).alias("ela"))
 
 
 def resampled(x: np.ndarray, rate: int) -> np.ndarray:

@@ -24,7 +24,7 @@ def heat_images(images: DataFrame) -> DataFrame:
         for b in batches:
             for path, h, w, c, bgr in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 x = raster(bgr, h, w, c)
-                drawn = drawing.png(drawing.overlay(x, kernels.error_levels(x)[0]))
+                drawn = drawing.png(drawing.overlay(x, kernels.error_heat(x)))
                 yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([drawn], pa.binary())], ["path", "png"])
 
     return images.select("path", "height", "width", "channels", "bgr").mapInArrow(draw, "path string, png binary")

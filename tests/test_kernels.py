@@ -31,14 +31,49 @@ def test_jpeg_loses_less_at_higher_quality():
     assert kernels.tables(50)[0].tolist() == kernels.LUMA.tolist() and kernels.LUMA.mean() == 57.625
 
 
-def test_spectrum_tells_noise_from_upsampled():
+def test_spectra_tell_noise_from_upsampled():
     smooth = kernels.resize(noise(16).astype(float), 128, 128).astype(np.uint8)
-    assert kernels.spectrum(noise(128))[-1] > kernels.spectrum(smooth)[-1] and kernels.spectrum(smooth)[0] == 0
-
-
-def test_error_levels_are_in_range():
-    heat, score = kernels.error_levels(noise(128))
-    assert heat.shape == (128, 128) and 0 <= heat.min() and heat.max() <= 1 and 0 <= score <= 1
+    a, b = kernels.spectra([noise(128), smooth])
+    assert a[-1] > b[-1] and b[0] == 0 and np.allclose(b, kernels.spectra([smooth])[0])
+
+
+def test_spectra_by_loops_over_the_whole_plane():
+    x = noise(256, 3)
+    y = kernels.luma(x)
+    wave = np.array([0.5 - 0.5 * np.cos(2 * np.pi * k / 255) for k in range(256)])
+    f = np.fft.fft2((y - y.mean()) * wave[:, None] * wave)
+    total, n = np.zeros(32), np.zeros(32)
+    for v in range(256):
+        for u in range(256):
+            r = np.hypot(v - 256 * (v >= 128), u - 256 * (u >= 128))
+            ring = min(31, int(r / 128 * 32))
+            total[ring] += np.log(abs(f[v, u]) ** 2 + 1e-8)
+            n[ring] += 1
+    assert np.allclose(kernels.spectra([x])[0], total / n - (total / n)[0])
+
+
+def test_resize_weighs_areas():
+    a = np.arange(48.0).reshape(6, 8)
+    assert np.allclose(kernels.resize(a, 6, 8), a) and np.allclose(kernels.resize(a, 6, 8, cubic=True), a)
+    assert np.allclose(kernels.resize(np.full((9, 7), 3.0), 4, 20, cubic=True), 3.0)
+    checks = np.indices((64, 64)).sum(0) % 2 * 255.0  # a point sample would keep black or white
+    assert np.abs(kernels.resize(checks, 16, 16)[2:-2, 2:-2] - 127.5).max() < 2
+    assert kernels.resize(noise(10).astype(float), 5, 3).shape == (5, 3, 3)
+
+
+def test_error_levels_by_definition():
+    x = kernels.jpeg(noise(96), 60)
+    lost = np.abs(kernels.jpeg(x, 90).astype(float) - x).sum(2) / 3
+    size = max(3, 96 // 24)
+    before, after = size // 2, size - 1 - size // 2
+    at = lambda k: [k + d for d in range(-before, after + 1)]
+    mirror = lambda k: -k - 1 if k < 0 else 191 - k if k > 95 else k
+    mean = np.array([[np.mean([lost[mirror(v), mirror(u)] for v in at(i) for u in at(j)]) for j in range(96)] for i in range(96)])
+    ratio = mean / (np.median(mean) + 0.001)
+    assert np.allclose(kernels.error_ratio(x), ratio)
+    assert kernels.error_peak(x) == pytest.approx(np.percentile(ratio, 99))
+    assert np.allclose(kernels.error_heat(x), np.clip((ratio - 1) / 3, 0, 1))
+    assert kernels.SCORERS["ela"](x) == pytest.approx(1 / (1 + np.exp(-(np.percentile(ratio, 99) - 5) / 0.8)))
 
 
 def test_crop_splice_and_contrast():

@@ -79,11 +79,12 @@ def test_webp_and_bmp():
     assert headers.parse(b"BM" + b"\0" * 16 + struct.pack("<ii", 7, -9))[:3] == ("BMP", 7, 9)
 
 
-def test_overlay_and_ramp():
-    assert drawing.ramp(np.array([0.0, 0.5, 1.0])).tolist() == [[0, 0, 127.5], [127.5, 255, 127.5], [127.5, 0, 0]]
+def test_overlay_and_palette():
+    colours = drawing.palette()
+    assert colours.shape == (256, 3) and colours[[0, 255]].tolist() == [[0, 0, 128], [128, 0, 0]] and colours[127, 1] == 255
     x = np.full((8, 6, 3), 100, np.uint8)
     out = drawing.overlay(x, np.ones((4, 3)))
-    assert out.shape == x.shape and out[0, 0].tolist() == [113, 50, 50]
+    assert out.shape == x.shape and out[0, 0].tolist() == [114, 50, 50]
     raw = drawing.png(out)
     at = raw.index(b"IDAT")
     size = struct.unpack(">I", raw[at - 4 : at])[0]
