@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def global_rank(df: DataFrame, key: str, tie: str) -> DataFrame:
-    """Adds rank: the row's place, from 1, in the order of a hexadecimal digest and a tie-breaker.
+    """Adds rank, the row's place, from 1, in the order of a hexadecimal digest and a tie-breaker, and total, the number of rows.
 
     The digest's first three digits make 4,096 buckets; ranks are numbered inside buckets and
     shifted by the sizes of the buckets before, so no task sorts more than a bucket.
@@ -18,7 +18,7 @@ def global_rank(df: DataFrame, key: str, tie: str) -> DataFrame:
     df = df.withColumn("__b", F.substring(key, 1, 3))
     sizes = df.groupBy("__b").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # over 4,096 rows at most
-    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).withColumn("total", F.sum("__n").over(Window.partitionBy())).drop("__n")
     inside = F.row_number().over(Window.partitionBy("__b").orderBy(key, tie))
     return df.join(F.broadcast(sizes), "__b").withColumn("rank", F.col("__before") + inside).drop("__b", "__before")
 
@@ -26,9 +26,8 @@ def global_rank(df: DataFrame, key: str, tie: str) -> DataFrame:
 def group_split(df: DataFrame, group: str = "source_id", share: float = 0.3) -> DataFrame:
     """(group, split): the first floor(n * share) groups in digest order are 'test', so no group is in both."""
     groups = df.select(group).filter(F.col(group).isNotNull()).distinct().withColumn("__k", F.md5(F.col(group).cast("string")))
-    n = groups.agg(F.floor(F.count("*") * F.lit(float(share))).alias("__take"))
-    ranked = global_rank(groups, "__k", group).join(F.broadcast(n))
-    return ranked.select(group, F.when(F.col("rank") <= F.col("__take"), "test").otherwise("train").alias("split"))
+    take = F.floor(F.col("total") * F.lit(float(share)))
+    return global_rank(groups, "__k", group).select(group, F.when(F.col("rank") <= take, "test").otherwise("train").alias("split"))
 
 
 def assign(df: DataFrame, split: DataFrame, group: str = "source_id") -> DataFrame:
@@ -50,8 +49,8 @@ def positives() -> Column:
     return F.coalesce(F.col("label") == "fake", F.lit(False)).cast("int")
 
 
-def auc(df: DataFrame, by: list[str], score: str = "p", y: str = "y", buckets: int = 1024) -> DataFrame:
-    """(*by, auc): the mid-rank area under the curve, null where a class is empty.
+def _below(df: DataFrame, by: list[str], score: str, y: str, buckets: int = 1024) -> DataFrame:
+    """(*by, __p, __pos, __neg, __under): by distinct score, its positives and negatives and the negatives below it.
 
     Scores in [0, 1] are counted by distinct value in buckets of the score; negatives below are a
     running sum inside a bucket plus the buckets before, so no task holds a whole group's scores.
@@ -60,35 +59,42 @@ def auc(df: DataFrame, by: list[str], score: str = "p", y: str = "y", buckets: i
     each = df.groupBy(*by, cell.alias("__b"), F.col(score).alias("__p")).agg(F.sum(y).alias("__pos"), F.sum(1 - F.col(y)).alias("__neg"))
     cells = each.groupBy(*by, "__b").agg(F.sum("__neg").alias("__cell"))
     before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("__below", F.coalesce(F.sum("__cell").over(before), F.lit(0))).drop("__cell")
+    cells = cells.withColumn("__before", F.coalesce(F.sum("__cell").over(before), F.lit(0))).drop("__cell")
     inside = Window.partitionBy(*by, "__b").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     each = each.withColumn("__less", F.coalesce(F.sum("__neg").over(inside), F.lit(0)))
-    joined = each.join(cells, [*by, "__b"])
-    won = F.sum(F.col("__pos") * (F.col("__below") + F.col("__less") + F.col("__neg") * F.lit(0.5)))
-    return joined.groupBy(*by).agg(F.try_divide(won, (F.sum("__pos") * F.sum("__neg")).cast("double")).alias("auc"))
+    return each.join(cells, [*by, "__b"]).withColumn("__under", F.col("__before") + F.col("__less"))
+
+
+def _area() -> Column:
+    won = F.sum(F.col("__pos") * (F.col("__under") + F.col("__neg") * F.lit(0.5)))
+    return F.try_divide(won, (F.sum("__pos") * F.sum("__neg")).cast("double"))
+
+
+def auc(df: DataFrame, by: list[str], score: str = "p", y: str = "y") -> DataFrame:
+    """(*by, auc): the mid-rank area under the curve, null where a class is empty."""
+    return _below(df, by, score, y).groupBy(*by).agg(_area().alias("auc"))
 
 
 def evaluate(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(grp, n, n_fake, fpr, tpr, acc, auc) for fakes of types seen in training and of unseen ones.
 
-    Both groups are measured against the same real test rows, so those are counted in each.
+    Both groups are measured against the same real test rows, so those are counted in each. Rates and
+    areas come from one table of counts by group and score.
     """
-    seen_types = df.filter("split = 'train' AND label = 'fake'").select("type").distinct()
-    test = df.filter("split = 'test'").withColumn("y", positives())
-    real, fake = test.filter("y = 0"), test.filter("y = 1")
-    seen, unseen = fake.join(F.broadcast(seen_types), "type", "left_semi"), fake.join(F.broadcast(seen_types), "type", "left_anti")
-    both = real.select("y", "p", F.explode(F.array(F.lit("seen"), F.lit("unseen"))).alias("grp"))
-    for name, rows in (("seen", seen), ("unseen", unseen)):
-        both = both.unionByName(rows.select("y", "p", F.lit(name).alias("grp")))
-    hit = (F.col("p") >= threshold).cast("int")
-    out = both.groupBy("grp").agg(
-        F.count("*").alias("n"),
-        F.sum("y").cast("bigint").alias("n_fake"),
-        F.avg(F.when(F.col("y") == 0, hit)).alias("fpr"),
-        F.avg(F.when(F.col("y") == 1, hit)).alias("tpr"),
-        F.avg((hit == F.col("y")).cast("int")).alias("acc"),
+    seen = df.filter("split = 'train' AND label = 'fake'").select(F.col("type").alias("__t")).distinct()
+    test = df.filter("split = 'test'").select("type", "p", positives().alias("y")).join(seen, F.col("type") == F.col("__t"), "left")
+    both, one = F.array(F.lit("seen"), F.lit("unseen")), F.array(F.when(F.col("__t").isNull(), "unseen").otherwise("seen"))
+    rows = test.select("y", "p", F.explode(F.when(F.col("y") == 0, both).otherwise(one)).alias("grp"))
+    pos, neg, said = F.col("__pos"), F.col("__neg"), F.col("__p") >= threshold
+    share = lambda a, b: F.try_divide(F.sum(a).cast("double"), F.sum(b).cast("double"))
+    return _below(rows, ["grp"], "p", "y").groupBy("grp").agg(
+        F.sum(pos + neg).alias("n"),
+        F.sum(pos).cast("bigint").alias("n_fake"),
+        share(F.when(said, neg).otherwise(0), neg).alias("fpr"),
+        share(F.when(said, pos).otherwise(0), pos).alias("tpr"),
+        share(F.when(said, pos).otherwise(neg), pos + neg).alias("acc"),
+        _area().alias("auc"),
     )
-    return out.join(auc(both, ["grp"]), "grp")
 
 
 def first_n(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:

@@ -77,7 +77,7 @@ def _fused(spark, sf):
     j = frames(spark, sf).join(meta(spark, sf), F.col("video") % 1000 == F.col("media"))
     ai = F.col("ai_marker").isNotNull()
     shift = sc.metadata_signal(F.col("ai_marker"), F.col("editor"), F.col("camera"))["shift"]
-    return j.withColumn("score", sc.fuse([F.col("clip"), F.col("freq")], shift, ai)).withColumn("ai", ai)
+    return j.withColumn("shift", shift).withColumn("score", sc.fuse([F.col("clip"), F.col("freq")], F.col("shift"), ai)).withColumn("ai", ai)
 
 
 @query(f"WITH {_FUSE} SELECT video, frame, round(score, 6) AS p, CASE WHEN ai OR score >= 0.5 THEN 'likely_fake' ELSE 'likely_real' END AS verdict FROM z")
@@ -85,24 +85,32 @@ def dec2_fuse(spark, sf):
     return _fused(spark, sf).select("video", "frame", r6(F.col("score"), "p"), sc.verdict(F.col("score"), F.col("ai")).alias("verdict"))
 
 
-@query(f"""WITH {_FUSE} SELECT video, frame, CASE WHEN min_side < 64 THEN 'input is very low resolution (' || min_side || 'px)'
-  WHEN round(abs(clip - freq), 9) > 0.6 THEN 'detectors strongly disagree' WHEN abs(round(score, 9) - 0.5) < 0.12 THEN 'score is too close to 50%' ELSE '' END AS reason FROM z""")
-def dec3_reason(spark, sf):
+# what the file declares leaves no doubt; else the first that applies
+_REASON = """CASE WHEN ai THEN '' WHEN min_side < 64 THEN 'input is very low resolution (' || min_side || 'px)'
+  WHEN round(abs(clip - freq), 9) > 0.6 THEN 'detectors strongly disagree' WHEN abs(round(score, 9) - 0.5) < 0.12 THEN 'score is too close to 50%' ELSE '' END"""
+
+
+def _judged(spark, sf):
     z = _fused(spark, sf)
-    spread = F.round(F.abs(F.col("clip") - F.col("freq")), 9)
-    return z.select("video", "frame", sc.low_confidence_reason(F.col("min_side"), spread, F.lit(0.0), F.round("score", 9)).alias("reason"))
+    return z.withColumn("reason", sc.judged([F.col("clip"), F.col("freq")], F.col("shift"), F.col("ai"), F.col("min_side"))["reason"])
 
 
-@query(f"""WITH {_FUSE}, v AS (SELECT DISTINCT media, jpeg_quality FROM meta), c AS (SELECT video, frame, abs(score - 0.5) * 2 * (1 - abs(clip - freq)) * (CASE WHEN jpeg_quality < 80 THEN 0.75::DOUBLE ELSE 1 END)
-  * (CASE WHEN min_side < 256 THEN 0.6::DOUBLE ELSE 1 END) AS conf, (CASE WHEN jpeg_quality < 80 THEN 0.75::DOUBLE ELSE 1 END) * (CASE WHEN min_side < 256 THEN 0.6::DOUBLE ELSE 1 END) AS quality FROM z JOIN v ON video % 1000 = media)
-SELECT video, frame, round(conf, 8) AS score, CASE WHEN round(conf, 9) >= 0.55 THEN 'high' WHEN round(conf, 9) >= 0.3 THEN 'medium' ELSE 'low' END AS level,
+@query(f"WITH {_FUSE} SELECT video, frame, {_REASON} AS reason FROM z")
+def dec3_reason(spark, sf):
+    return _judged(spark, sf).select("video", "frame", "reason")
+
+
+@query(f"""WITH {_FUSE}, v AS (SELECT DISTINCT media, jpeg_quality FROM meta), c AS (SELECT video, frame, {_REASON} AS reason, abs(score - 0.5) * 2 * (1 - abs(clip - freq))
+  * (CASE WHEN jpeg_quality < 80 THEN 0.75::DOUBLE ELSE 1 END) * (CASE WHEN min_side < 256 THEN 0.6::DOUBLE ELSE 1 END) AS conf,
+  (CASE WHEN jpeg_quality < 80 THEN 0.75::DOUBLE ELSE 1 END) * (CASE WHEN min_side < 256 THEN 0.6::DOUBLE ELSE 1 END) AS quality FROM z JOIN v ON video % 1000 = media)
+SELECT video, frame, round(conf, 8) AS score, CASE WHEN reason <> '' THEN 'low' WHEN round(conf, 9) >= 0.55 THEN 'high' WHEN round(conf, 9) >= 0.3 THEN 'medium' ELSE 'low' END AS level,
   CASE WHEN quality >= 0.95 THEN 'good' WHEN quality >= 0.6 THEN 'degraded' ELSE 'poor' END AS input_quality FROM c""")
 def dec4_confidence(spark, sf):
-    z = _fused(spark, sf)
+    z = _judged(spark, sf)
     q = sc.input_quality(F.col("jpeg_quality"), F.col("min_side"), F.lit(True))
     c = sc.confidence(F.col("score"), sc.agreement([F.col("clip"), F.col("freq")]), q, F.lit(1.0))
     return z.select(
-        "video", "frame", F.round(c, 8).alias("score"), sc.confidence_level(F.round(c, 9), F.lit(2), F.lit("")).alias("level"), sc.input_quality_label(q).alias("input_quality")
+        "video", "frame", F.round(c, 8).alias("score"), sc.confidence_level(F.round(c, 9), F.lit(2), F.col("reason")).alias("level"), sc.input_quality_label(q).alias("input_quality")
     )
 
 

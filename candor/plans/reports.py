@@ -135,12 +135,14 @@ def fil7_sample_eligibility(spark, sf):
     return manifest(spark, sf).filter(F.col("split") == "test").filter(ext.isin(".jpg", ".jpeg", ".png", ".webp")).join(there, "path", "left_semi").select("path")
 
 
-@query("""WITH s AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(0, 64)) AS i) t)
-SELECT vec_id, floor(i / 7.5)::INT AS frame, round(sqrt(avg(x * x) + 1e-12), 6) AS rms FROM s GROUP BY ALL""")
+@query("""WITH s AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(0, 64)) AS i) t),
+f AS (SELECT f::INT AS frame, floor(f * 7.5::DOUBLE) AS lo, floor((f + 1) * 7.5::DOUBLE) AS hi FROM (SELECT unnest(range(0, 9)) AS f) t)
+SELECT vec_id, frame, round(sqrt(avg(x * x) + 1e-12), 6) AS rms FROM s JOIN f ON i >= lo AND i < hi GROUP BY ALL""")
 def jn11_frame_loudness(spark, sf):
-    # the frame of sample i is the only f with int(f * hop) <= i < int((f + 1) * hop)
+    # frame f holds the samples from floor(f * hop) up to floor((f + 1) * hop), so sample i is in the least f with i + 1 <= (f + 1) * hop
     s = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
-    return s.groupBy("vec_id", F.floor(F.col("i") / 7.5).cast("int").alias("frame")).agg(r6(F.sqrt(F.avg(F.col("x") * F.col("x")) + F.lit(1e-12)), "rms"))
+    frame = (F.ceil((F.col("i") + 1) / 7.5) - 1).cast("int")
+    return s.groupBy("vec_id", frame.alias("frame")).agg(r6(F.sqrt(F.avg(F.col("x") * F.col("x")) + F.lit(1e-12)), "rms"))
 
 
 @query("""WITH s AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(0, 64)) AS i) t),

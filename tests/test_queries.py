@@ -57,6 +57,19 @@ def test_fusion_goldens(spark):
     assert reason(300, 0.0, 0.0, 0.5) == "score is too close to 50%" and reason(None, 0.0, 0.0, 0.9) == ""
 
 
+def test_judged_goldens(spark):
+    def judged(a, b, shift=0.0, ai=False, side=300, inc=0.0):
+        r = one(spark, sc.judged([F.lit(a).cast("double"), F.lit(b).cast("double")], F.lit(shift), F.lit(ai), F.lit(side), F.lit(inc)))
+        return round(r["p"], 6), r["verdict"], r["reason"]
+
+    assert judged(None, None) == (0.5, "inconclusive", sc.NO_DETECTORS)
+    assert judged(None, None, ai=True) == (0.97, "likely_fake", "")
+    assert judged(0.05, 0.95) == (0.5, "likely_fake", "detectors strongly disagree")
+    assert judged(0.05, 0.95, ai=True, side=10) == (0.97, "likely_fake", "")
+    assert judged(0.1, None) == (0.100001, "likely_real", "") and judged(0.9, 0.9, side=63)[2] == "input is very low resolution (63px)"
+    assert judged(0.2, 0.2, inc=0.4)[2] == "scores vary strongly between frames"
+
+
 def test_score_goldens(spark):
     x = lambda c: one(spark, c)
     assert [round(x(sc.correlation_score(F.lit(c))), 4) for c in (0.0, 0.15, 0.3)] == [0.8950, 0.5, 0.1050]
