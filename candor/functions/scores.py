@@ -91,7 +91,7 @@ def low_confidence_reason(min_side: Column, spread: Column, inconsistency: Colum
 
 
 def fuse(scores: list[Column], shift: Column, declared_ai: Column, model: Column | None = None, calibration: Column | None = None) -> Column:
-    """The fused probability: the model's when every score and a model are there, else the mean of those there.
+    """The fused probability: the model's when every score and the model's are there, else the mean of those there.
 
     Null without any score; declared_ai lifts the result to DECLARED_AI at least, and to just that without scores.
     """
@@ -99,7 +99,7 @@ def fuse(scores: list[Column], shift: Column, declared_ai: Column, model: Column
     mean = F.try_divide(F.aggregate(present, lit(0), lambda a, x: a + x), F.size(present).cast("double"))
     if model is not None:
         calibration = lit(0) if calibration is None else calibration
-        whole = F.size(present) == len(scores)
+        whole = (F.size(present) == len(scores)) & model.isNotNull()
         p, shift = F.when(whole, model).otherwise(mean), shift + F.when(whole, calibration).otherwise(lit(0))
     else:
         p = mean

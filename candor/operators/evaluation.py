@@ -75,19 +75,20 @@ def auc(df: DataFrame, by: list[str], score: str = "p", y: str = "y") -> DataFra
     return _below(df, by, score, y).groupBy(*by).agg(_area().alias("auc"))
 
 
-def evaluate(df: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(grp, n, n_fake, fpr, tpr, acc, auc) for fakes of types seen in training and of unseen ones.
+def evaluate(df: DataFrame, threshold: float = 0.5, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, grp, n, n_fake, fpr, tpr, acc, auc) for fakes of types seen in training and of unseen ones.
 
     Both groups are measured against the same real test rows, so those are counted in each. Rates and
-    areas come from one table of counts by group and score.
+    areas come from one table of counts by group and score. by: columns that tell runs of the same
+    samples apart, such as a detector and a degradation; all are measured in one job.
     """
     seen = df.filter("split = 'train' AND label = 'fake'").select(F.col("type").alias("__t")).distinct()
-    test = df.filter("split = 'test'").select("type", "p", positives().alias("y")).join(seen, F.col("type") == F.col("__t"), "left")
+    test = df.filter("split = 'test'").select(*by, "type", "p", positives().alias("y")).join(seen, F.col("type") == F.col("__t"), "left")
     both, one = F.array(F.lit("seen"), F.lit("unseen")), F.array(F.when(F.col("__t").isNull(), "unseen").otherwise("seen"))
-    rows = test.select("y", "p", F.explode(F.when(F.col("y") == 0, both).otherwise(one)).alias("grp"))
+    rows = test.select(*by, "y", "p", F.explode(F.when(F.col("y") == 0, both).otherwise(one)).alias("grp"))
     pos, neg, said = F.col("__pos"), F.col("__neg"), F.col("__p") >= threshold
     share = lambda a, b: F.try_divide(F.sum(a).cast("double"), F.sum(b).cast("double"))
-    return _below(rows, ["grp"], "p", "y").groupBy("grp").agg(
+    return _below(rows, [*by, "grp"], "p", "y").groupBy(*by, "grp").agg(
         F.sum(pos + neg).alias("n"),
         F.sum(pos).cast("bigint").alias("n_fake"),
         share(F.when(said, neg).otherwise(0), neg).alias("fpr"),
@@ -97,6 +98,31 @@ def evaluate(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     )
 
 
+def runs(df: DataFrame, scores: dict[tuple[str, str], Column]) -> DataFrame:
+    """df once for each (detector, degradation), with that run's p."""
+    each = [F.struct(F.lit(d).alias("detector"), F.lit(g).alias("degradation"), p.alias("p")) for (d, g), p in scores.items()]
+    return df.withColumn("__run", F.explode(F.array(*each))).drop("p").select("*", "__run.*").drop("__run")
+
+
+def robustness(df: DataFrame) -> DataFrame:
+    """(detector, degradation, fpr, seen_auc, unseen_auc, unseen_rate) of runs, null where a class is empty."""
+    keys = ("detector", "degradation")
+    of = lambda grp, c: F.max(F.when(F.col("grp") == grp, F.col(c)))
+    return evaluate(df, by=keys).groupBy(*keys).agg(
+        F.max("fpr").alias("fpr"), of("seen", "auc").alias("seen_auc"), of("unseen", "auc").alias("unseen_auc"), of("unseen", "tpr").alias("unseen_rate")
+    )
+
+
+def published(df: DataFrame) -> DataFrame:
+    """What is published with an evaluation, one row: sizes of the test split and the sorted types of fakes trained on."""
+    test = F.col("split") == "test"
+    of = F.collect_set(F.when((F.col("split") == "train") & (F.col("label") == "fake"), F.col("type")))
+    return df.agg(
+        F.count(F.when(test, 1)).alias("n_test"), F.count(F.when(test & (F.col("label") == "real"), 1)).alias("n_test_real"),
+        F.count(F.when(test & (F.col("label") == "fake"), 1)).alias("n_test_fake"), F.array_sort(of).alias("train_fake_types"),
+    )
+
+
 def first_n(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rn") <= n)
 

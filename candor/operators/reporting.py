@@ -139,6 +139,22 @@ def audio_reports(windows: DataFrame, by: str = "path") -> DataFrame:
     )
 
 
+def decorated(reports: DataFrame, files: DataFrame, truth: DataFrame | None = None, device: str = "spark") -> DataFrame:
+    """reports (path and more) with media_kind, provenance, elapsed_s and, where truth has the path, ground_truth.
+
+    files: path, length, and elapsed_s where it was measured. truth: path, label, type, one row for each path.
+    """
+    spent = F.round("__spent", 1) if "elapsed_s" in files.columns else F.lit(None).cast("double")
+    about = files.select("path", F.col("length").alias("__bytes"), *[F.col("elapsed_s").alias("__spent")] * ("elapsed_s" in files.columns))
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    source = F.struct(name.alias("filename"), F.col("__bytes").alias("bytes"), F.current_timestamp().alias("analyzed_at"), F.lit(device).alias("device"))
+    out = reports.join(about, "path", "left").withColumns({"media_kind": sc.media_kind(F.col("path")), "provenance": source, "elapsed_s": spent})
+    out = out.drop("__bytes", "__spent")
+    if truth is None:
+        return out
+    return out.join(truth.select("path", F.struct("label", "type").alias("ground_truth")), "path", "left")
+
+
 def dispatched(files: DataFrame, path: str = "path") -> DataFrame:
     """files with kind, and error where the extension is none that is known."""
     kind = sc.media_kind(F.col(path))

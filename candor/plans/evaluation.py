@@ -177,11 +177,44 @@ def dec11_unseen_types(spark, sf):
     return t.filter("n = 0 AND label = 'fake'").select("type", "label")
 
 
-@query(f"{WITH}, d(name, f) AS (VALUES ('clean', 1.0::DOUBLE), ('jpeg75', 0.9::DOUBLE), ('jpeg50', 0.8::DOUBLE)) SELECT name, type, count(*) AS n, round(avg((p * f >= 0.5)::INT), 6) AS rate FROM m, d WHERE split = 'test' GROUP BY ALL")
+# Stand-ins: a detector's score is a function of p, a degradation multiplies it.
+_DETECTORS = {"judge": "p", "clip_probe": "p * p", "frequency": "abs(p - 0.3D)", "ela": "1 - p"}
+_LOSS = {"clean": 1.0, "jpeg75": 0.9, "jpeg50": 0.8, "down0.5": 0.7, "h264": 0.6}
+#: The runs that are published.
+PUBLISHED = [("judge", "clean"), ("clip_probe", "clean"), ("frequency", "clean"), ("judge", "jpeg75"), ("judge", "jpeg50"), ("judge", "down0.5")]
+_RUNS = f"""{WITH}, runs AS (SELECT m.* EXCLUDE (p), detector, degradation, CASE detector WHEN 'judge' THEN p WHEN 'clip_probe' THEN p * p WHEN 'frequency' THEN abs(p - 0.3::DOUBLE) ELSE 1 - p END * f AS p
+  FROM m, (VALUES ('judge'), ('clip_probe'), ('frequency'), ('ela')) d(detector), (VALUES ('clean', 1.0::DOUBLE), ('jpeg75', 0.9::DOUBLE), ('jpeg50', 0.8::DOUBLE), ('down0.5', 0.7::DOUBLE), ('h264', 0.6::DOUBLE)) g(degradation, f)),
+seen AS (SELECT DISTINCT type FROM m WHERE split = 'train' AND label = 'fake'),
+t AS (SELECT detector, degradation, type, p, (label = 'fake')::INT AS y FROM runs WHERE split = 'test'),
+b AS (SELECT detector, degradation, g.grp, y, p FROM t, (VALUES ('seen'), ('unseen')) g(grp) WHERE y = 0
+  UNION ALL SELECT detector, degradation, CASE WHEN type IN (SELECT type FROM seen) THEN 'seen' ELSE 'unseen' END, y, p FROM t WHERE y = 1),
+k AS (SELECT detector, degradation, grp, y, p, rank() OVER (PARTITION BY detector, degradation, grp ORDER BY p) + (count(*) OVER (PARTITION BY detector, degradation, grp, p) - 1) / 2.0::DOUBLE AS rk FROM b),
+e AS (SELECT detector, degradation, grp, count(*) AS n, sum(y)::BIGINT AS n_fake, (sum(rk) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / nullif(sum(y)::DOUBLE * (count(*) - sum(y)), 0) AS auc,
+  avg((p >= 0.5)::INT) FILTER (y = 0) AS fpr, avg((p >= 0.5)::INT) FILTER (y = 1) AS tpr, avg(((p >= 0.5)::INT = y)::INT) AS acc FROM k GROUP BY ALL)"""
+
+
+def _runs(spark: SparkSession, sf: str, pairs: list[tuple[str, str]]) -> DataFrame:
+    return ev.runs(manifest(spark, sf), {(d, g): F.expr(_DETECTORS[d]) * F.lit(_LOSS[g]) for d, g in pairs})
+
+
+@query(f"""{_RUNS} SELECT detector, degradation, round(max(fpr), 6) AS fpr, round(max(auc) FILTER (grp = 'seen'), 6) AS seen_auc, round(max(auc) FILTER (grp = 'unseen'), 6) AS unseen_auc,
+  round(max(tpr) FILTER (grp = 'unseen'), 6) AS unseen_rate FROM e GROUP BY ALL""")
 def ml9_robustness_grid(spark, sf):
-    grid = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(f).alias("f")) for n, f in (("clean", 1.0), ("jpeg75", 0.9), ("jpeg50", 0.8))])))
-    t = manifest(spark, sf).filter("split = 'test'").crossJoin(F.broadcast(grid))  # three rows
-    return t.groupBy("name", "type").agg(F.count("*").alias("n"), r6(F.avg((F.col("p") * F.col("f") >= 0.5).cast("int")), "rate"))
+    grid = ev.robustness(_runs(spark, sf, [(d, g) for d in _DETECTORS for g in _LOSS]))
+    return grid.select("detector", "degradation", *[r6(F.col(c), c) for c in ("fpr", "seen_auc", "unseen_auc", "unseen_rate")])
+
+
+@query(f"""{_RUNS}, h AS (SELECT count(*) FILTER (split = 'test') AS n_test, count(*) FILTER (split = 'test' AND label = 'real') AS n_test_real, count(*) FILTER (split = 'test' AND label = 'fake') AS n_test_fake,
+  string_agg(DISTINCT type, ',' ORDER BY type) FILTER (split = 'train' AND label = 'fake') AS types FROM m)
+SELECT detector || '/' || degradation AS step, grp, n, n_fake, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr, round(acc, 6) AS acc, round(auc, 6) AS auc, h.* FROM e, h
+WHERE degradation = 'clean' AND detector <> 'ela' OR detector = 'judge' AND degradation <> 'h264'""")
+def pip9_published_run(spark, sf):
+    """The published runs, measured in one job, beside the sizes of the split."""
+    head = ev.published(manifest(spark, sf)).withColumn("types", F.array_join("train_fake_types", ",")).drop("train_fake_types")
+    out = ev.evaluate(_runs(spark, sf, PUBLISHED), by=("detector", "degradation"))
+    step = F.concat_ws("/", "detector", "degradation").alias("step")
+    return out.select(step, "grp", "n", "n_fake", *[r6(F.col(c), c) for c in ("fpr", "tpr", "acc", "auc")]).join(F.broadcast(head))
+
 
 
 @query("SELECT archive.lang AS lang, d.n AS degradation FROM (SELECT DISTINCT lang FROM documents) archive, (VALUES ('clean'), ('jpeg75'), ('jpeg50'), ('half'), ('h264')) d(n)")

@@ -31,6 +31,13 @@ def ml2_scaled_lr(spark, sf):
     return ml.fit_probe(v, c=0.5, scaled=True)(v).select("item", "y", F.round("p", 4).alias("p"))
 
 
+@query()
+def ml3_audio_probe(spark, sf):
+    """Five vectors are a file's windows, all with the label of the first."""
+    v = _vectors(spark, sf).select("item", "x", F.floor(F.col("item") / 5).alias("path"), (F.col("item") % 5).alias("s"), (F.floor(F.col("item") / 5) % 3 == 0).cast("int").alias("y"))
+    return ml.fit_audio(v)(v).select("item", "y", F.round("p", 4).alias("p"))
+
+
 @query()
 def ml4_oof(spark, sf):
     return ml.out_of_fold(_vectors(spark, sf), 5).select("item", "fold", "y", F.round("p", 4).alias("p"))

@@ -68,3 +68,14 @@ def pip1_dispatch(spark, sf):
     ends = F.array(*[F.lit(x) for x in (".jpg", ".PNG", ".mp4", ".wav", ".txt", "", ".m4a")])
     path = F.concat(F.col("doc_id").cast("string"), F.element_at(ends, (F.col("doc_id") % 7 + 1).cast("int")))
     return reporting.dispatched(table(spark, sf, "documents").select(path.alias("path")))
+
+
+@query(f"""SELECT {_NAME} AS path, CASE WHEN doc_id % 7 < 2 THEN 'image' WHEN doc_id % 7 = 2 THEN 'video' WHEN doc_id % 7 IN (3, 6) THEN 'audio' END AS media_kind, {_NAME} AS filename, n_chars::BIGINT AS bytes,
+  CASE WHEN doc_id % 2 = 0 THEN lang END AS type, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN lang = 'en' THEN 'real' ELSE 'fake' END END AS label FROM documents""")
+def pip10_decorated(spark, sf):
+    """Every second document is a sample with a label that is known."""
+    ends = F.array(*[F.lit(x) for x in (".jpg", ".PNG", ".mp4", ".wav", ".txt", "", ".m4a")])
+    docs = table(spark, sf, "documents").withColumn("path", F.concat(F.col("doc_id").cast("string"), F.element_at(ends, (F.col("doc_id") % 7 + 1).cast("int"))))
+    truth = docs.filter("doc_id % 2 = 0").select("path", F.when(F.col("lang") == "en", "real").otherwise("fake").alias("label"), F.col("lang").alias("type"))
+    out = reporting.decorated(docs.select("path"), docs.select("path", F.col("n_chars").cast("bigint").alias("length")), truth)
+    return out.select("path", "media_kind", "provenance.filename", "provenance.bytes", "ground_truth.type", "ground_truth.label")

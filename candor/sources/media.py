@@ -79,10 +79,15 @@ def _declared(m: Column, marks: Column) -> Column:
     )
 
 
-def images(spark: SparkSession, path: str) -> DataFrame:
-    """(path, height, width, rgb): decoded images; those that can't be decoded are left out."""
-    df = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path)
-    return df.select(F.col("image.origin").alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), F.col("image.data").alias("bgr"))
+def images(spark: SparkSession, path: str, keep_invalid: bool = False) -> DataFrame:
+    """(path, height, width, channels, bgr): decoded images. Those that can't be decoded (WebP among them)
+    are left out, or, with keep_invalid, stay without pixels; decoded then tells them apart."""
+    df = spark.read.format("image").option("dropInvalid", not keep_invalid).option("recursiveFileLookup", True).load(path)
+    df = df.select(F.col("image.origin").alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), F.col("image.data").alias("bgr"))
+    if not keep_invalid:
+        return df
+    good = F.col("height") > 0
+    return df.select("path", *[F.when(good, F.col(c)).alias(c) for c in df.columns[1:]], good.alias("decoded"))
 
 
 def raster(bgr: bytes, height: int, width: int, channels: int) -> np.ndarray:
