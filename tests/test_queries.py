@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from candor import queries
 from candor.functions import scores as sc
 from candor.operators import evaluation as ev
+from candor.operators import reporting
 from candor.operators import series as se
 
 SF = "/root/testdata/sf0.001"
@@ -78,6 +79,13 @@ def test_score_goldens(spark):
     assert shift(0.9, True) == pytest.approx(1.2) and shift(0.1, True) == pytest.approx(-0.32) and shift(0.9, False) == shift(None, True) == 0
 
 
+def test_audio_reports_round_as_the_sql(spark, duck):
+    clips = {"a": [0.5, 0.5375], "b": [0.58125], "c": [0.4875, 0.55], "d": [0.99375], "e": [0.00625]}
+    w = spark.createDataFrame([(k, i, i + 3, p) for k, ps in clips.items() for i, p in enumerate(ps)], "path string, s int, e int, p double")
+    got = {r.path: r.report.authenticity for r in reporting.audio_reports(w).collect()}
+    assert got == {k: duck.execute("SELECT round(1 - round(list_avg($1::DOUBLE[]), 9), 4)", [ps]).fetchone()[0] for k, ps in clips.items()}
+
+
 def test_windows_and_frames(spark):
     starts = lambda n: one(spark, se.audio_windows(F.lit(n)))
     assert [starts(int(s * 16000)) for s in (4, 4.5, 5, 9)] == [[0], [0], [0, 48000], [0, 48000, 96000]]
