@@ -86,6 +86,27 @@ def test_audio_reports_round_as_the_sql(spark, duck):
     assert got == {k: duck.execute("SELECT round(1 - round(list_avg($1::DOUBLE[]), 9), 4)", [ps]).fetchone()[0] for k, ps in clips.items()}
 
 
+def lines_in_files(spark, path, files):
+    """A lineitem of one file for each list of (video, frame, discount, tax), and a serial connection that reads it."""
+    for i, rows in enumerate(files):
+        df = spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_discount double, l_tax double").coalesce(1)
+        df.write.parquet(str(path / f"part{i}"))
+        (path / "lineitem.parquet").mkdir(exist_ok=True)
+        next((path / f"part{i}").glob("*.parquet")).rename(path / "lineitem.parquet" / f"{i}.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.sql(f"create view lineitem as select * from read_parquet('{path}/lineitem.parquet/*.parquet')")
+    return con
+
+
+def test_audio_reports_add_in_the_table_s_order(spark, tmp_path):
+    first = [(1, 1, 0.02, 0.0), (2, 1, 0.01, 0.0), (3, 1, 0.03, 0.0)]
+    rest = [(1, 1, 0.03, 0.0), (1, 1, 0.1, 0.0), (2, 1, 0.05, 0.0), (2, 1, 0.09, 0.0), (3, 1, 0.04, 0.0), (3, 1, 0.08, 0.0)]
+    con = lines_in_files(spark, tmp_path, [first, rest])
+    want = con.sql(queries.ORACLES["pip4_audio_report"])
+    got = queries.QUERIES["pip4_audio_report"](spark, str(tmp_path)).select(*want.columns)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
+
+
 def test_windows_and_frames(spark):
     starts = lambda n: one(spark, se.audio_windows(F.lit(n)))
     assert [starts(int(s * 16000)) for s in (4, 4.5, 5, 9)] == [[0], [0], [0, 48000], [0, 48000, 96000]]
