@@ -107,6 +107,17 @@ def test_audio_reports_add_in_the_table_s_order(spark, tmp_path):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
 
 
+def test_video_reports_add_in_the_table_s_order(spark, tmp_path):
+    first = [(36, 1, 0.09, 0.06), (66, 1, 0.02, 0.05), (66, 1, 0.1, 0.04), (66, 1, 0.04, 0.06)]
+    rest = [(36, 1, 0.08, 0.01), (36, 1, 0.05, 0.04), (36, 1, 0.03, 0.01), (66, 1, 0.0, 0.08), (66, 1, 0.0, 0.01), (66, 1, 0.04, 0.08)]
+    con = lines_in_files(spark, tmp_path, [first, rest])
+    spark.createDataFrame([(36,), (66,)], "o_orderkey bigint").write.parquet(str(tmp_path / "orders.parquet"))
+    con.sql(f"create view orders as select * from read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    want = con.sql(queries.ORACLES["pip3_video_report"])
+    got = queries.QUERIES["pip3_video_report"](spark, str(tmp_path)).select(*want.columns)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
+
+
 def test_windows_and_frames(spark):
     starts = lambda n: one(spark, se.audio_windows(F.lit(n)))
     assert [starts(int(s * 16000)) for s in (4, 4.5, 5, 9)] == [[0], [0], [0, 48000], [0, 48000, 96000]]
