@@ -61,15 +61,19 @@ def held_out(id_col: str, modulus: int = 7, remainder: int = 2) -> Column:
 
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every token, place of each text's end token): words, then END, text by text."""
-    w = tk.Words(texts)
-    n = w.counts()
-    out = np.empty(len(w.starts) + len(texts), U)
-    ends = np.cumsum(n + 1) - 1
-    out[ends] = END
-    place = np.ones(len(out), bool)
-    place[ends] = False
-    out[place] = w.hashes()
-    return out, ends
+    held, ends, n = [np.zeros(0, U)], [np.zeros(0, np.int64)], 0
+    for lo, hi in tk.chunks(texts):  # small enough for the cache
+        w = tk.Words(texts[lo:hi])
+        out = np.empty(len(w.starts) + hi - lo, U)
+        end = np.cumsum(w.counts() + 1) - 1
+        out[end] = END
+        place = np.ones(len(out), bool)
+        place[end] = False
+        out[place] = w.hashes()
+        held.append(out)
+        ends.append(end + n)
+        n += len(out)
+    return np.concatenate(held), np.concatenate(ends)
 
 
 def _buffers(batches, column: int = 0):
@@ -109,6 +113,28 @@ class Shelf:
         return found
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values in order, each element's number among them) of numbers from 0 on, as np.unique, but by sorting values with their places."""
+    if (x[1:] >= x[:-1]).all():
+        new = np.ones(len(x), bool)
+        new[1:] = x[1:] != x[:-1]
+        return x[new], np.cumsum(new) - 1
+    kind, x, bits = x.dtype, x.astype(U, copy=False), len(x).bit_length()
+    cut = max(0, int(x.max()).bit_length() + bits - 64)
+    keyed = (x >> U(cut)) << U(bits) | np.arange(len(x), dtype=U)
+    keyed.sort()
+    place = (keyed & U((1 << bits) - 1)).astype(np.int64)
+    value = x[place]
+    if cut and (value[1:] < value[:-1]).any():  # values that differ in the bits cut off only
+        value, at = np.unique(x, return_inverse=True)
+        return value.astype(kind, copy=False), at
+    new = np.ones(len(x), bool)
+    new[1:] = value[1:] != value[:-1]
+    at = np.empty(len(x), np.int64)
+    at[place] = np.cumsum(new) - 1
+    return value[new].astype(kind, copy=False), at
+
+
 def _runs(numbers: np.ndarray) -> Iterator[tuple[int, slice]]:
     """(number, its places) of a sorted array: only numbers that occur."""
     if len(numbers):
@@ -125,19 +151,11 @@ class Grams:
         part = lambda p: EliasFano({k: a[f"{p}_{k}"] for k in ("meta", "low", "high", "ones", "zeros")})
         self.pointers, self.followers = part("pointer"), part("follower")
 
-    def sections(self, parents: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first, end, base) of the ranges of parents."""
-        first, end = (b.astype(np.int64) for b in self.pointers.ranges(parents))
-        base = np.zeros(len(parents), U)
-        later = first > 0
-        base[later] = self.followers.get(first[later] - 1)
-        return first, end, base
-
     def places(self, parents: np.ndarray, words: np.ndarray) -> np.ndarray:
         """The place of each (parent, word), -1 where there is none; parents in order."""
-        each, at = np.unique(parents, return_inverse=True)
-        first, end, base = self.sections(each)
-        return self.followers.find_between(base[at] + words.astype(U), first[at], end[at])
+        new = np.concatenate([[True], parents[1:] != parents[:-1]])
+        first, end = (b.astype(np.int64) for b in self.pointers.ranges(parents[new]))
+        return self.followers.find_after(words.astype(U), first, end, np.cumsum(new) - 1)
 
 
 class Trie:
@@ -243,7 +261,7 @@ class Walk:
 
     def __init__(self, trie: Trie, tokens: np.ndarray):
         self.trie = trie
-        self.hashes, self.word = np.unique(tokens, return_inverse=True)
+        self.hashes, self.word = _distinct(tokens)
         self.ids, self.counts = trie.look_up(self.hashes)
         self.starts = np.concatenate([[True], tokens[:-1] == END])
         (self.end,) = trie.look_up(np.array([END], U))[0]
@@ -261,7 +279,7 @@ class Walk:
         known = before >= 0
         known[known] = self.nodes[before[known]] >= 0
         size = len(self.hashes)
-        pairs, at = np.unique(before[known] * size + self.word[known], return_inverse=True)
+        pairs, at = _distinct(before[known] * size + self.word[known])
         self.pair = np.full(len(self.word), -1, np.int64)
         self.pair[known] = at
         self.parent_at, self.word_at = pairs // size, pairs % size
@@ -324,7 +342,7 @@ class Model:
         for k in range(2, self.order + 1):
             walk.step(k)
             parents, pair = walk.parents, walk.pair
-            each, at = np.unique(parents, return_inverse=True)
+            each, at = _distinct(parents)
             back = trie.back_off(k - 1, each)[at]
             share = walk.find(k, weighed=True)
             told = pair >= 0

@@ -429,6 +429,68 @@ def test_elias_fano():
             assert want is None or d.find_between(x, lo, hi).tolist() == want
 
 
+def test_elias_fano_reads_numbers_of_any_width():
+    for n, top in ((3, 2**62), (5, 2**61 + 7), (40, 2**62)):
+        v = np.sort(np.random.default_rng(n).integers(0, top, n).astype(np.uint64))
+        e = eliasfano.EliasFano(eliasfano.build(v))
+        assert (e.get(np.arange(n)) == v).all() and (e.find(v) == np.searchsorted(v, v)).all()
+
+
+def followers(rng, sizes, vocabulary):
+    """Of each parent its word ids, as a file of pointers and followers."""
+    words = [np.sort(rng.choice(vocabulary, n, replace=False)) for n in sizes]
+    base = np.concatenate([[0], np.cumsum([w[-1] if len(w) else 0 for w in words])])
+    values = np.concatenate([w + b for w, b in zip(words, base, strict=False)]).astype(np.uint64)
+    start = np.concatenate([[0], np.cumsum(sizes)]).astype(np.uint64)
+    out = lm.Grams.__new__(lm.Grams)
+    out.pointers, out.followers = (eliasfano.EliasFano(eliasfano.build(x)) for x in (start, values))
+    return out, words
+
+
+@pytest.mark.parametrize("sizes", [[0, 3, 1, 0, 900, 2, 4, 5, 0, 1] * 20, [1] * 500, [0, 0, 700, 0], [4] * 300])
+def test_lm_places_in_short_and_long_ranges(sizes):
+    rng = np.random.default_rng(7)
+    grams, words = followers(rng, sizes, 1000)
+    parents = np.sort(rng.integers(0, len(sizes), 20_000))
+    wanted = rng.integers(0, 1000, len(parents))
+    known = rng.random(len(parents)) < 0.5
+    wanted[known] = [rng.choice(words[p]) if len(words[p]) else 0 for p in parents[known]]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    place = {(p, int(w)): int(first[p]) + i for p, ws in enumerate(words) for i, w in enumerate(ws)}
+    assert grams.places(parents, wanted).tolist() == [place.get(key, -1) for key in zip(parents.tolist(), wanted.tolist(), strict=True)]
+
+
+@pytest.mark.parametrize(("size", "most"), [(1, 2.2), (3, 2.6), (200, 2.3)])
+def test_lm_selects_seldom(monkeypatch, size, most):
+    """A look-up costs a selection for its parent's pointers, one for its base and, in long ranges, one for its run."""
+    grams, words = followers(np.random.default_rng(8), [size] * 2000, 50_000)
+    selected, select = [], eliasfano.EliasFano._select
+    monkeypatch.setattr(eliasfano.EliasFano, "_select", lambda self, k, *more: selected.append(len(k)) or select(self, k, *more))
+    parents = np.repeat(np.arange(2000), min(size, 4))
+    assert (grams.places(parents, np.concatenate([w[: min(size, 4)] for w in words])) >= 0).all()
+    assert sum(selected) <= most * len(parents)
+
+
+def test_lm_tells_distinct_values_apart():
+    rng = np.random.default_rng(9)
+    near = np.uint64(2**64 - 4096) + rng.integers(0, 16, 5000).astype(np.uint64)  # alike but for bits that places take
+    far = rng.integers(0, 2**63, 300).astype(np.uint64)[rng.integers(0, 300, 5000)] * np.uint64(2)
+    for x in (near, far, np.sort(near), rng.integers(0, 50, 999), np.arange(9), np.zeros(0, np.int64), np.array([7])):
+        value, at = lm._distinct(x)
+        want, of = np.unique(x, return_inverse=True)
+        assert value.dtype == x.dtype and value.tolist() == want.tolist() and at.tolist() == of.tolist()
+
+
+def test_lm_tokens_of_texts_in_several_rounds(monkeypatch):
+    texts = [b"", b"One two", b"two  ONE\tthree", b"x" * 50, b" "]
+    whole, ends = lm._tokens(texts)
+    monkeypatch.setattr(lm.tk.chunks, "__defaults__", (8,))
+    assert len(list(lm.tk.chunks(texts))) > 2
+    parts, same = lm._tokens(texts)
+    assert parts.tolist() == whole.tolist() and same.tolist() == ends.tolist() == [0, 3, 7, 9, 10]
+    assert [len(x) for x in lm._tokens([])] == [0, 0]
+
+
 def brute_lm(texts, order, out):
     """(rows of score_documents by formula, tokens): n-grams in dictionaries, contexts no longer than the text so far."""
     count, after = collections.Counter(), collections.defaultdict(collections.Counter)
